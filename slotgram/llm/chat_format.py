@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotgram.llm.common import table
+from slotgram.llm.common import let, table
 
 END, PART, TRAINED = " </turn>\n", " </part> ", "assistant"
 PROBE = r"\### Assistant: </turn> ok"
@@ -66,7 +66,7 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    return F.array_join(F.transform(mask, lambda m: unescaped(F.substring(formatted, m["start"] + 1, m["end"] - m["start"]))), "")
+    return let(formatted, lambda f: F.array_join(F.transform(mask, lambda m: unescaped(F.substring(f, m["start"] + 1, m["end"] - m["start"]))), ""))
 
 
 def query(spark, sf_dir) -> DataFrame:

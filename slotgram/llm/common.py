@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side may be broadcast; beyond it joins shuffle.
@@ -50,6 +50,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row: the optimiser may copy a
+    projected column's expression into a lambda, where it would run for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # --- hashing -----------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

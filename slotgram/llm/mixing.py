@@ -87,11 +87,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 
 
 def repeat_texts(mixed: DataFrame) -> DataFrame:
-    """One row per epoch of each taken row; the last one is cut to the words left."""
-    left = F.col("taken") - F.col("_epoch") * F.col("size")
-    whole = mixed.where("taken > 0").withColumn("_epoch", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
-    cut = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, left.cast("int")), " "))
-    return whole.withColumn("text", cut).drop("_epoch")
+    """One row for each time that a row of the mix is read: ``taken`` is then the words of this
+    reading, and the text of a partial reading is cut to its first ``taken`` words (joined by
+    one space).  Rows of which nothing is taken go."""
+    rows = mixed.where("taken > 0").withColumn("_epoch", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
+    rows = rows.withColumn("taken", F.least("size", F.col("taken") - F.col("_epoch") * F.col("size"))).drop("_epoch")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
+    return rows.withColumn("text", F.when(F.col("taken") < F.col("size"), first).otherwise(F.col("text")))
 
 
 def query(spark, sf_dir) -> DataFrame:

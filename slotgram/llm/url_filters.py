@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotgram.llm.common import small, table
+from slotgram.llm.common import let, small, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The contract's rules: (verdict, host, path).
@@ -46,10 +46,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     keyed = keyed.select(F.substring("digest", 1, PREFIX_HEX).alias("short"), "digest", F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("b"), F.concat("host", "path").alias("rule"), "verdict").alias("won"))
     urls = pages.select("url").where("url is not null").distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> '' or path <> ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")
+    suffixes = let(F.split("host", r"\."), lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, F.size(x) - i + 1), ".")))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
-    terms = urls.withColumn("labels", labels).select("url", suffixes.alias("hosts"), prefixes.alias("paths"))
+    terms = urls.select("url", suffixes.alias("hosts"), prefixes.alias("paths"))
     terms = terms.select("url", "paths", F.explode("hosts").alias("host")).select("url", "host", F.explode("paths").alias("path"))
     terms = terms.select("url", F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("_digest"))
     hits = terms.join(small(keyed), (F.substring("_digest", 1, PREFIX_HEX) == F.col("short")) & (F.col("_digest") == F.col("digest")))
