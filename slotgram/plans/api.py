@@ -1,0 +1,96 @@
+"""The operations a user runs: train, list, pack, unpack, summarize."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slotgram.functions import codec, meta
+from slotgram.functions.text import decoded
+from slotgram.operators import inspect, vocab
+from slotgram.shipping import ship
+from slotgram.sources import files, layouts
+
+
+def train(spark: SparkSession, source: str, name: str, output: str = "codecs", min_freq: int = 5, min_len: int = 3, max_len: int = 16) -> DataFrame:
+    """Learns a codec from the text files under ``source``; writes ``name.edc`` and
+    ``name.json`` to ``output`` and returns the vocabulary."""
+    ship(spark)
+    corpus = files.text_corpus(spark, source)
+    if corpus.isEmpty():
+        raise ValueError(f"no text files in {source}")
+    learned = vocab.train(corpus, min_len, max_len, min_freq).persist()
+    save_codec(learned, name, output)
+    return learned
+
+
+def save_codec(learned: DataFrame, name: str, output: str = "codecs") -> None:
+    """At most 3,570 rows reach the driver."""
+    entries = sorted(codec.vocab_map(learned).items(), key=lambda x: x[1])
+    sidecar = json.dumps({"flag_byte": "0x1", "vocab": {str(s): t for t, s in entries}}, ensure_ascii=False, indent=2)
+    spark = learned.sparkSession
+    files.write_files(spark.createDataFrame([(f"{name}.edc", layouts.write_codec(entries)), (f"{name}.json", sidecar.encode())], "path string, content binary"), output)
+
+
+def load_codec(spark: SparkSession, name: str, folder: str = "codecs") -> DataFrame:
+    return files.read_codecs(spark, str(files.find_codec(name, folder)))
+
+
+def list_codecs(spark: SparkSession, folder: str = "codecs") -> DataFrame:
+    return vocab.catalog(files.read_codecs(spark, folder)).orderBy("codec")
+
+
+def _now() -> str:
+    return dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def pack(spark: SparkSession, source: str, name: str, target: str, folder: str = "codecs", preset: int = 9, strict: bool = False) -> str:
+    """Packs a file or folder into ``target``; returns the archive's path.  ``strict`` refuses
+    files whose bytes would not survive (invalid UTF-8, CR line ends)."""
+    ship(spark)
+    path, is_dir = Path(source), Path(source).is_dir()
+    rows = files.scan(spark, source)
+    if rows.isEmpty():
+        raise ValueError(f"nothing to pack in {source}")
+    rows = rows.select("path", "length", decoded(F.col("content")).alias("text"))
+    if strict and not rows.where(F.octet_length("text") != F.col("length")).isEmpty():
+        raise ValueError("some files would not survive packing byte by byte")
+    lines = [f"codec={name}", f"source_name={path.name if is_dir else path.stem}", f"source_type={'directory' if is_dir else 'file'}", *([] if is_dir else [f"source_extension={path.suffix}"]), f"archived_at={_now()}"]
+    encoded = codec.encode(rows, load_codec(spark, name, folder), ["path"])
+    root = path.resolve().as_uri().removeprefix("file://")
+    local = F.regexp_replace("path", "^file:(//)?", "")
+    out = f"{path.name if is_dir else path.stem}{meta.SUFFIX}"
+    described = encoded.select(F.lit(out).alias("archive"), F.lit(name).alias("codec"), F.lit("\n".join(lines)).alias("meta"), meta.relative_path(local, F.lit(root)).alias("path"), "encoded")
+    packed = files.pack_directories(described, preset) if is_dir else files.pack_files(described, preset)
+    files.write_files(packed.select(F.col("archive").alias("path"), "content"), target)
+    return str(Path(target) / out)
+
+
+def unpack(spark: SparkSession, archive: str, target: str, name: str | None = None, folder: str = "codecs") -> DataFrame:
+    """Restores an archive's files under ``target``; returns path and text.  ``name`` overrides
+    the codec that the archive names."""
+    ship(spark)
+    entries = files.read_archives(spark, archive).persist()
+    head = entries.where("ord = 0").select("codec", "entry_type", meta.parse_meta(F.decode("encoded", "UTF-8")).alias("meta")).first()
+    tokens = load_codec(spark, name, folder) if name else load_codec(spark, _plain(head["codec"]), folder)
+    single = meta.unpacked_name(F.lit(archive), F.lit(False), F.lit(head["meta"].get("source_name")), F.lit(head["meta"].get("source_extension")))
+    texts = codec.decode(entries.where("ord > 0"), tokens, ["path"])
+    base = F.concat(meta.codec_name(F.lit(archive)), F.lit("/"))
+    texts = texts.withColumn("path", F.concat(base, F.col("path")) if head["entry_type"] == "D" else single)
+    files.write_files(texts.select("path", F.encode("text", "UTF-8").alias("content")), target)
+    return texts
+
+
+def _plain(name: str) -> str:
+    if "/" in name or "\\" in name or name in ("", ".", ".."):
+        raise ValueError(f"an archive may not name a codec by path: {name!r}")
+    return name
+
+
+def summarize(spark: SparkSession, archive: str) -> DataFrame:
+    ship(spark)
+    return inspect.summary(files.read_archives(spark, archive), files.scan(spark, archive).select(F.col("path").alias("archive"), F.col("length").alias("archive_bytes")))
