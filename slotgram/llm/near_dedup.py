@@ -9,11 +9,13 @@ hash i gives to the set, truncated to 16 bits: registers of a union are register
 2. Registers are banded; classes that share a band value meet in a bucket.
 3. In each bucket all members are compared with one hub, the member that shares most buckets
    with others: a number of pairs linear in the bucket.  Components of these links follow.
-4. What is left are pairs of one bucket in different components.  Members outside the
+4. Twice, members outside the bucket's main component are compared with one random member
+   of it for each bucket, again a linear number of pairs; most join there.
+5. What is left are pairs of one bucket in different components.  Members outside the
    bucket's main component are compared with the others, each pair in its first common bucket
    only, unless sizes, the triangle inequality of Jaccard distance over the hub, or the count
    of equal registers rule the pair out.  No member is capped, dropped or sampled.
-5. Pairs pass if the joint likelihood estimate from registers and set sizes is not far below
+6. Pairs pass if the joint likelihood estimate from registers and set sizes is not far below
    the threshold, and link if the full sets reach it.
 
 A pair at similarity 0.75 shares no band of 48 x 5 registers with probability 2e-6, and is
@@ -43,6 +45,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 #: Estimates under this are not verified; its distance from 0.75 is nearly five standard errors.
 LEAST_ESTIMATE = 0.62
+#: Rounds in which members outside a bucket's main component meet a random member of it.
+PARTNER_TURNS = 2
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -171,11 +175,27 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _union(links: list[DataFrame]) -> DataFrame:
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    return found
+
+
+def _mains(members: DataFrame, labels: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """``members`` with their component's label, and key, main: the component with most
+    members of each bucket that holds several."""
+    labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    labelled = written(labelled, what)
+    count = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    return labelled, written(count.where("labels > 1").select("key", "main"), f"{what}-main")
+
+
 def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
     """x, y: links between set digests, enough to connect every component."""
     classes = written(sketch.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs")), "near-classes")
     rows = classes.select("cid", "n", F.explode(F.expr(BAND_KEYS)).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "near-shared")
     members = written(rows.join(shared, "key"), "near-members")
     score = members.groupBy("cid").agg(F.sum("k").alias("score"))
     met = written(classes.join(score, "cid"), "near-met")
@@ -199,14 +219,19 @@ def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> D
     stars = members.where("cid <> hub").select(F.col("cid").alias("x"), F.col("hub").alias("y")).distinct().join(x, "x").join(y, "y").where(like)
     stars = written(verified(estimated(stars), sets), "near-stars")
     linked = F.expr(f"100 * inter >= {percent} * total")
-    labels = components(stars.where(linked))
+    links = [stars.where(linked).select("x", "y")]
+    for turn in range(PARTNER_TURNS):
+        labelled, main = _mains(members, components(_union(links)), f"near-mains-{turn}")
+        pick = F.max_by("cid", F.xxhash64("cid", "key", F.lit(turn)))
+        partner = labelled.join(main, "key").where("label = main").groupBy("key").agg(pick.alias("y"))
+        loose = labelled.join(main, "key").where("label <> main").select("key", F.col("cid").alias("x"))
+        pairs = loose.join(written(partner, "near-partners"), "key").select("x", "y").distinct().join(x, "x").join(y, "y").where(like)
+        links.append(written(verified(estimated(pairs), sets), "near-turn").where(linked).select("x", "y"))
     # pairs of one bucket that are still apart
-    labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    labelled = labelled.join(stars.select(F.col("x").alias("cid"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("total")).alias("far")), ["cid", "hub"], "left")
-    labelled = labelled.withColumn("far", F.when(F.col("cid") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-    labelled = written(labelled.select("key", "cid", "n", "label", "far"), "near-labelled")
-    count = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
-    apart = labelled.join(count, "key").join(met.select("cid", "regs"), "cid").withColumn("keys", F.expr(BAND_KEYS))
+    labelled, main = _mains(members, components(_union(links)), "near-mains")
+    far = stars.select(F.col("x").alias("cid"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("total")).alias("far"))
+    apart = labelled.join(main, "key").join(far, ["cid", "hub"], "left").withColumn("far", F.when(F.col("cid") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
+    apart = apart.join(met.select("cid", "regs"), "cid").withColumn("keys", F.expr(BAND_KEYS))
     apart = written(apart.withColumn("out", F.col("label") != F.col("main")), "near-apart")
     a = apart.where("out").select("key", *[F.col(c).alias(f"{c}x") for c in ("cid", "n", "label", "far", "regs", "keys")])
     b = apart.select(F.col("key").alias("keyy"), "out", *[F.col(c).alias(f"{c}y") for c in ("cid", "n", "label", "far", "regs", "keys")])
@@ -216,7 +241,7 @@ def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> D
     rest = a.join(b, (F.col("key") == F.col("keyy")) & (F.col("labelx") != F.col("labely")) & (~F.col("out") | (F.col("cidx") < F.col("cidy"))) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & near & first & alike)
     rest = rest.select(F.col("cidx").alias("x"), "nx", F.col("regsx").alias("rx"), F.col("cidy").alias("y"), "ny", F.col("regsy").alias("ry"))
     rest = written(verified(estimated(rest), sets), "near-rest")
-    return stars.where(linked).select("x", "y").union(rest.where(linked).select("x", "y"))
+    return _union([*links, rest.where(linked).select("x", "y")])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -186,6 +186,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     places = written(_places(docs, passage, gram).distinct(), "suffix-places")
     own = F.xxhash64("doc_id", "th")
     shared = places.groupBy("h").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("h")
+    shared = written(shared, "suffix-shared")
     suffixes = written(_suffixes(docs.dropDuplicates(["doc_id", "th"]), places.join(shared, "h"), passage, gram), "suffix-contexts")
     found = _neighbours(suffixes, "after", passage, gram).union(_neighbours(suffixes, "before", passage, gram))
     lists = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "other"))).alias("spans"))
