@@ -14,8 +14,9 @@ so a text gives a row for about 13 words, and equal windows have equal fingerpri
    128 bits of two independent functions, come twice.
 3. Words under repeated windows are removed; windows are judged on the input.
 
-Counts are pre-aggregated, and the joins back from counts to rows have one row per key on
-one side, so a hot passage is split by adaptive execution.  Nothing is collected.
+Counts are pre-aggregated and written, and the joins back from counts to rows have one row
+per key on one side, so a hot passage is split by adaptive execution (an aggregate right under
+the join would forbid that).  Nothing is collected.
 
 Nulls: null text has no words; a null id is a value of its own.  Repeated rows are copies,
 so all of their windows repeat.  Empty tables give an empty result.  Texts are taken whole,
@@ -137,14 +138,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         new = index.add(prints.where(F.pmod("th", F.lit(batches)) == b).select("h"))
         shared = new if shared is None else shared.union(new)
     index.compact()
-    flagged = prints.join(shared.distinct(), "h")
+    flagged = prints.join(written(shared.distinct(), "dedup-shared"), "h")
     full = written(_expanded(docs, flagged, window), "dedup-windows")
     kinds = written(full.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("one")), "dedup-kinds")
     joined = full.join(kinds, ["h", "d"])
     copies = joined.where("n > 1").select("doc_id", "th", "first", (F.col("first") + F.size("windows") - 1).alias("last"))
     loose = joined.where("n = 1 or uid = one").select("h", "doc_id", "th", "n", "first", F.posexplode("windows").alias("k", "w")).select("h", "w", "doc_id", "th", "n", (F.col("first") + F.col("k")).alias("at"))
     loose = written(loose, "dedup-loose")
-    twice = loose.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "w")
+    twice = written(loose.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "w"), "dedup-twice")
     single = loose.where("n = 1").join(twice, ["h", "w"]).select("doc_id", "th", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = copies.union(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end"))).alias("spans"))
     return written(spans, "dedup-spans")
