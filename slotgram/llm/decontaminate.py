@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from slotgram.llm.common import let, small, table, written
 from slotgram.llm.url_filters import LOWER, UPPER
 
-WINDOW, GRAM = 10, 5
+WINDOW, GRAM, PLACE_BITS = 10, 5, 31
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,14 +37,24 @@ def gram_hashes(words: Column, k: int) -> Column:
 
 
 def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """array<struct<h, at>>: hash and 0-based word position of the leftmost least gram of each
-    window of ``words``, without repeats; empty if there are fewer words."""
+    """Leftmost least gram of each window of ``words``, without repeats; none if there are
+    fewer words.  Each is one long (see ``hash_of`` and ``place_of``): 33 bits of the hash, then
+    31 bits of the 0-based word position.  Arrays of longs keep the array functions linear,
+    and the words are compared in the end, so the shorter hash costs only a few more hits."""
     span = window - gram + 1
-    placed = lambda g: F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    placed = lambda g: F.transform(g, lambda h, i: h.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long")))
     least = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - (span - 1)), lambda i: F.array_min(F.slice(g, i, span)))
     return let(words, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(placed(gram_hashes(w, gram)), least))))
 
 
+def hash_of(fingerprint: Column) -> Column:
+    return F.shiftright(fingerprint, PLACE_BITS)
+
+
+def place_of(fingerprint: Column) -> Column:
+    return fingerprint.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """item, n, w (the words, joined by a space): one row per window of each item."""
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
@@ -57,8 +67,8 @@ def find_hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, gram: i
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), words_of(F.col("text")).alias("words"))
     distinct = windows.select("n", "w").distinct()
     long = distinct.where(F.col("n") == window).withColumn("words", F.split("w", " "))
-    long = long.select("n", "w", F.element_at(fingerprints(F.col("words"), window, gram), 1).alias("p")).select(F.col("p.h").alias("wh"), F.col("p.at").alias("shift"), "n", "w")
-    prints = texts.select("_id", "_th", F.explode(fingerprints(F.col("words"), window, gram)).alias("p")).select("_id", "_th", F.col("p.h").alias("h"), F.col("p.at").alias("at"))
+    long = long.select("n", "w", F.element_at(fingerprints(F.col("words"), window, gram), 1).alias("p")).select(hash_of(F.col("p")).alias("wh"), place_of(F.col("p")).alias("shift"), "n", "w")
+    prints = texts.select("_id", "_th", F.explode(fingerprints(F.col("words"), window, gram)).alias("p")).select("_id", "_th", hash_of(F.col("p")).alias("h"), place_of(F.col("p")).alias("at"))
     hits = prints.join(small(long), F.col("h") == F.col("wh")).where("at >= shift").select("_id", "_th", (F.col("at") - F.col("shift")).alias("at"), "n", "w")
     for n in sorted(r[0] for r in distinct.where(F.col("n") < window).select("n").distinct().collect()):  # at most window - 1 lengths
         short = distinct.where(F.col("n") == n).select(F.xxhash64(F.split("w", " ")).alias("wh"), "n", "w")
