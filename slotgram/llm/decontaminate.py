@@ -36,6 +36,15 @@ def gram_hashes(words: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
+def sliding_least(values: Column, span: int, have: int = 1) -> Column:
+    """Least of each element and the ``span - 1`` after it (fewer at the end), by doubling."""
+    if have >= span:
+        return values
+    shift = min(have, span - have)
+    wider = F.transform(values, lambda x, i: F.least(x, F.get(values, i + shift)))
+    return let(wider, lambda v: sliding_least(v, span, have + shift))
+
+
 def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
     """Leftmost least gram of each window of ``words``, without repeats; none if there are
     fewer words.  Each is one long (see ``hash_of`` and ``place_of``): 33 bits of the hash, then
@@ -43,7 +52,7 @@ def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM) -> Colum
     and the words are compared in the end, so the shorter hash costs only a few more hits."""
     span = window - gram + 1
     placed = lambda g: F.transform(g, lambda h, i: h.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long")))
-    least = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - (span - 1)), lambda i: F.array_min(F.slice(g, i, span)))
+    least = lambda g: F.slice(sliding_least(g, span), F.lit(1), F.size(g) - (span - 1))
     return let(words, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(placed(gram_hashes(w, gram)), least))))
 
 
