@@ -25,15 +25,26 @@ from slotgram.llm.url_filters import LOWER, UPPER
 
 WINDOW, GRAM, PLACE_BITS = 10, 5, 31
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, before A-Z is lower-cased.
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def words_of(text: Column, fold: bool = True) -> Column:
+    """The words of a text, with A-Z lower-cased if ``fold``."""
+    text = F.coalesce(text, F.lit(""))
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER) if fold else text, BREAK, -1), "")
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    """Hash of the k words from each word on."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+def word_hashes(words: Column) -> Column:
+    """Equal for words that are equal once A-Z is lower-cased.  ``lower`` is quick where a word
+    is ASCII; beyond ASCII it folds more, which only adds hits that the words then refute."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def gram_hashes(hashes: Column, k: int) -> Column:
+    """Hash of the k words from each word on; none if there are fewer."""
+    grams = lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])), F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0)))
+    return let(hashes, grams)
 
 
 def sliding_least(values: Column, span: int, have: int = 1) -> Column:
@@ -45,15 +56,15 @@ def sliding_least(values: Column, span: int, have: int = 1) -> Column:
     return let(wider, lambda v: sliding_least(v, span, have + shift))
 
 
-def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """Leftmost least gram of each window of ``words``, without repeats; none if there are
-    fewer words.  Each is one long (see ``hash_of`` and ``place_of``): 33 bits of the hash, then
+def fingerprints(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
+    """Leftmost least gram of each window of the words with these hashes, without repeats; none
+    if there are fewer words.  Each is one long (see ``hash_of`` and ``place_of``): 33 bits of the hash, then
     31 bits of the 0-based word position.  Arrays of longs keep the array functions linear,
     and the words are compared in the end, so the shorter hash costs only a few more hits."""
     span = window - gram + 1
     placed = lambda g: F.transform(g, lambda h, i: h.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long")))
     least = lambda g: F.slice(sliding_least(g, span), F.lit(1), F.size(g) - (span - 1))
-    return let(words, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(placed(gram_hashes(w, gram)), least))))
+    return let(hashes, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(placed(gram_hashes(w, gram)), least))))
 
 
 def hash_of(fingerprint: Column) -> Column:
@@ -71,27 +82,36 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item", F.least(F.size("words"), F.lit(window)).alias("n"), F.explode(let(F.col("words"), windows)).alias("w")).distinct()
 
 
-def find_hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """_id, _th, hits array<struct<at, n, w>>: where windows may start in a document."""
-    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), words_of(F.col("text")).alias("words"))
+def scanned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, short: bool = False) -> DataFrame:
+    """_id, _th, n_words, prints (fingerprints), and the words' hashes if ``short``: one row per
+    row of ``docs``.  Texts are split here only, but for those with hits."""
+    hashes = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), word_hashes(words_of(F.col("text"), False)).alias("hashes"))
+    made = let(F.col("hashes"), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), fingerprints(h, window, gram).alias("prints"), *([h.alias("hashes")] if short else [])))
+    return hashes.select("_id", "_th", made.alias("made")).select("_id", "_th", "made.*")
+
+
+def find_hits(texts: DataFrame, windows: DataFrame, lengths: list[int], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """_id, _th, hits array<struct<at, n, w>>: where windows may start in the ``scanned`` texts."""
     distinct = windows.select("n", "w").distinct()
-    long = distinct.where(F.col("n") == window).withColumn("words", F.split("w", " "))
-    long = long.select("n", "w", F.element_at(fingerprints(F.col("words"), window, gram), 1).alias("p")).select(hash_of(F.col("p")).alias("wh"), place_of(F.col("p")).alias("shift"), "n", "w")
-    prints = texts.select("_id", "_th", F.explode(fingerprints(F.col("words"), window, gram)).alias("p")).select("_id", "_th", hash_of(F.col("p")).alias("h"), place_of(F.col("p")).alias("at"))
+    hashed = lambda: word_hashes(F.split("w", " "))
+    long = distinct.where(F.col("n") == window).select("n", "w", F.element_at(fingerprints(hashed(), window, gram), 1).alias("p"))
+    long = long.select(hash_of(F.col("p")).alias("wh"), place_of(F.col("p")).alias("shift"), "n", "w")
+    prints = texts.select("_id", "_th", F.explode("prints").alias("p")).select("_id", "_th", hash_of(F.col("p")).alias("h"), place_of(F.col("p")).alias("at"))
     hits = prints.join(small(long), F.col("h") == F.col("wh")).where("at >= shift").select("_id", "_th", (F.col("at") - F.col("shift")).alias("at"), "n", "w")
-    for n in sorted(r[0] for r in distinct.where(F.col("n") < window).select("n").distinct().collect()):  # at most window - 1 lengths
-        short = distinct.where(F.col("n") == n).select(F.xxhash64(F.split("w", " ")).alias("wh"), "n", "w")
-        grams = texts.select("_id", "_th", F.posexplode(let(F.col("words"), lambda w: F.when(F.size(w) >= n, gram_hashes(w, n)))).alias("at", "h"))  # noqa: B023
+    for n in lengths:
+        short = distinct.where(F.col("n") == n).select(F.element_at(gram_hashes(hashed(), n), 1).alias("wh"), "n", "w")
+        grams = texts.select("_id", "_th", F.posexplode(gram_hashes(F.col("hashes"), n)).alias("at", "h"))
         hits = hits.unionByName(grams.join(small(short), F.col("h") == F.col("wh")).select("_id", "_th", "at", "n", "w"))
     return hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "n", "w")).alias("hits"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items (sorted ids), spans (confirmed windows as
-    word ranges) and contaminated."""
+def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The ``scanned`` texts, and _id, _th, n_hit, spans, items of those with windows."""
     windows = written(benchmark_windows(items, window), "decontaminate-windows")
-    hits = written(find_hits(docs, windows, window, gram), "decontaminate-hits")
-    docs = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated").withColumn("_key", F.xxhash64("text"))
+    lengths = sorted(r[0] for r in windows.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 rows
+    texts = written(scanned(docs, window, gram, bool(lengths)), "decontaminate-texts")
+    hits = written(find_hits(texts, windows, lengths, window, gram), "decontaminate-hits")
+    docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("text"))
     slim = docs.select("doc_id", "_key", "text").join(small(hits), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")))
     slim = slim.dropDuplicates(["_id", "_th"]).select("_id", "_th", "hits", words_of(F.col("text")).alias("words"))
     found = written(slim.select("_id", "_th", let(F.col("words"), lambda w: F.filter("hits", lambda x: F.array_join(F.slice(w, x["at"] + 1, x["n"]), " ") == x["w"])).alias("hits")).where("size(hits) > 0"), "decontaminate-found")
@@ -100,17 +120,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     per_doc = found.select("_id", "_th", F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("_w"))
     per_doc = per_doc.join(small(windows.select("item", "w")), F.col("_w") == F.col("w")).groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = found.join(per_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", touched.cast("long").alias("n_hit"), spans.alias("spans"), "items")
-    found = written(found, "decontaminate-result")
-    joined = docs.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
-    return joined.withColumns({
-        "n_words": F.coalesce(F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD)), F.lit(0)).cast("long"),
+    return texts, written(found, "decontaminate-result")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
         "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
-        "items": F.coalesce("items", F.array().cast("array<string>")),
         "n_items": F.coalesce(F.size("items"), F.lit(0)).cast("long"),
+        "items": F.coalesce("items", F.array().cast("array<string>")),
         "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False)),
-    }).withColumn("n_items", F.greatest("n_items", F.lit(0))).drop("_key", "_id", "_th")
+    }).withColumn("n_items", F.greatest("n_items", F.lit(0))).drop("_id", "_th")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items (sorted ids), spans (confirmed windows as
+    word ranges) and contaminated."""
+    _, found = find_windows(docs, items, window, gram)
+    docs = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated").withColumn("_key", F.xxhash64("text"))
+    joined = docs.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left").drop("_key")
+    return _judged(joined.withColumn("n_words", F.size(words_of(F.col("text"), False)).cast("long")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The same for each row of ``docs``, without its texts and other columns: doc_id, ..."""
+    texts, found = find_windows(docs, items, window, gram)
+    found = found.withColumnsRenamed({"_id": "_i", "_th": "_t"})
+    rows = texts.select("_id", "_th", "n_words").join(small(found), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    return _judged(rows.withColumn("doc_id", F.col("_id"))).drop("_i", "_t")
 
 
 def query(spark, sf_dir) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
