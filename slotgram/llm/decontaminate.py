@@ -41,19 +41,20 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def gram_hashes(hashes: Column, k: int) -> Column:
-    """Hash of the k words from each word on; none if there are fewer."""
-    grams = lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])), F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0)))
-    return let(hashes, grams)
+def gram_hashes(hashes: Column, k: int, placed: bool = False) -> Column:
+    """Hash of the k words from each word on; none if there are fewer.  ``placed`` puts the
+    0-based word position in the low bits."""
+    gram = lambda h, x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
+    if placed:
+        made = lambda h: lambda x, i: gram(h, x, i).bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long"))
+    else:
+        made = lambda h: lambda x, i: gram(h, x, i)
+    return let(hashes, lambda h: F.slice(F.transform(h, made(h)), F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))))
 
 
-def sliding_least(values: Column, span: int, have: int = 1) -> Column:
-    """Least of each element and the ``span - 1`` after it (fewer at the end), by doubling."""
-    if have >= span:
-        return values
-    shift = min(have, span - have)
-    wider = F.transform(values, lambda x, i: F.least(x, F.get(values, i + shift)))
-    return let(wider, lambda v: sliding_least(v, span, have + shift))
+def sliding_least(values: Column, span: int) -> Column:
+    """Least of each element and the ``span - 1`` after it (fewer at the end)."""
+    return F.transform(values, lambda x, i: F.least(x, *[F.get(values, i + j) for j in range(1, span)])) if span > 1 else values
 
 
 def fingerprints(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
@@ -62,9 +63,8 @@ def fingerprints(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Colu
     31 bits of the 0-based word position.  Arrays of longs keep the array functions linear,
     and the words are compared in the end, so the shorter hash costs only a few more hits."""
     span = window - gram + 1
-    placed = lambda g: F.transform(g, lambda h, i: h.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long")))
     least = lambda g: F.slice(sliding_least(g, span), F.lit(1), F.size(g) - (span - 1))
-    return let(hashes, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(placed(gram_hashes(w, gram)), least))))
+    return let(hashes, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(gram_hashes(w, gram, True), least))))
 
 
 def hash_of(fingerprint: Column) -> Column:
