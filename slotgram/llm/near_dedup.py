@@ -9,14 +9,17 @@ hash i gives to the set, truncated to 16 bits: registers of a union are register
 2. Registers are banded; classes that share a band value meet in a bucket.
 3. In each bucket all members are compared with one hub, the member that shares most buckets
    with others: a number of pairs linear in the bucket.  Components of these links follow.
-4. Twice, members outside the bucket's main component are compared with one random member
-   of it for each bucket, again a linear number of pairs; most join there.
-5. What is left are pairs of one bucket in different components.  Members outside the
-   bucket's main component are compared with the others, each pair in its first common bucket
-   only, unless sizes, the triangle inequality of Jaccard distance over the hub, or the count
-   of equal registers rule the pair out.  No member is capped, dropped or sampled.
-6. Pairs pass if the joint likelihood estimate from registers and set sizes is not far below
-   the threshold, and link if the full sets reach it.
+4. What is left are pairs x, y that share a hub H and are in different components, so that one
+   of them, x, is not linked with H.  Seen from H, a set is what it adds and what it lacks.
+   Linked pairs of that kind share an added shingle, or else y lacks shingles that x, but for
+   a few, lacks too: fewer than a (|H| - |y|) with a = t / (1 + t).  (|x & H| < a (|x| + |H|),
+   and without shared additions |x & y| = |x & H| - |lacks(y) - lacks(x)| must reach
+   a (|x| + |y|).)  So pairs meet on added shingles, which are the rare ones in a group of
+   near copies, or on so many lacked shingles of y plus one, and pass only if the bound on
+   |x & y|, with a bit signature of what each lacks, allows a link.  Edits of one text, which
+   would meet in every bucket, so do not meet as pairs.  No member is capped or sampled.
+5. Pairs of a hub are compared in full if the joint likelihood estimate from registers and set
+   sizes is not far below the threshold, other pairs always; full sets confirm each link.
 
 A pair at similarity 0.75 shares no band of 48 x 5 registers with probability 2e-6, and is
 estimated below 0.62 with about 1e-6.
@@ -45,8 +48,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 #: Estimates under this are not verified; its distance from 0.75 is nearly five standard errors.
 LEAST_ESTIMATE = 0.62
-#: Rounds in which members outside a bucket's main component meet a random member of it.
-PARTNER_TURNS = 2
+#: 64-bit words of the signature of the hub's shingles that a set lacks.
+SIGNATURE = 4
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -175,20 +178,66 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _union(links: list[DataFrame]) -> DataFrame:
-    found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
-    return found
+def differences(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """hub, cid, i (size of the intersection), n, nh (set sizes), added, lacked (differing
+    shingles), probe (enough lacked shingles that one is lacked by every set that links
+    without a shared addition), s0.. (signature of ``lacked``) for pairs (cid, hub)."""
+    a, b = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("cid", "hub"))
+    both = pairs.join(a, "cid").join(b, "hub").select("hub", "cid", "s_cid", "s_hub")
+    signs = [f"s{k}" for k in range(SIGNATURE)]
 
-
-def _mains(members: DataFrame, labels: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
-    """``members`` with their component's label, and key, main: the component with most
-    members of each bucket that holds several."""
-    labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    labelled = written(labelled, what)
-    count = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    return labelled, written(count.where("labels > 1").select("key", "main"), f"{what}-main")
+    def compared(batches):
+        for batch in batches:
+            sizes, lists, marks = [], [], np.zeros((batch.num_rows, SIGNATURE), np.uint64)
+            for row, (s, t, c) in enumerate(zip(batch.column("s_cid"), batch.column("s_hub"), batch.column("cid"), strict=True)):
+                u, h = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                added, lacked = np.setdiff1d(u, h, True), np.setdiff1d(h, u, True)
+                inter = len(u) - len(added)
+                k = -(-percent * (len(h) - len(u)) // (100 + percent))
+                probe = lacked[:0]
+                if k > 0 and 100 * inter >= percent * len(u):
+                    # an order of each row's own, so that no shingle becomes every row's key
+                    probe = lacked[np.argsort(mix(lacked ^ np.frombuffer(c.as_py()[:8], np.uint64)[0]))[:k]]
+                bit = mix(lacked) % np.uint64(64 * SIGNATURE)
+                np.bitwise_or.at(marks[row], (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
+                sizes.append((inter, len(u), len(h)))
+                lists.append((added.view(np.int64), lacked.view(np.int64), probe.view(np.int64)))
+            cols = [pa.array([x[k] for x in sizes], pa.int64()) for k in range(3)]
+            cols += [pa.array([x[k] for x in lists], pa.list_(pa.int64())) for k in range(3)]
+            cols += [pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in range(SIGNATURE)]
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("cid"), *cols], ["hub", "cid", "i", "n", "nh", "added", "lacked", "probe", *signs])
+
+    return both.mapInArrow(compared, "hub binary, cid binary, i long, n long, nh long, added array<long>, lacked array<long>, probe array<long>, " + ", ".join(f"{s} long" for s in signs))
+
+
+def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """x, y: pairs of ``members`` (cid, hub) that share a hub, differ in their component and
+    may reach the threshold."""
+    label = labels.select(F.col("node"), F.col("label").alias("l"))
+    found = members.where("cid <> hub").distinct().join(label, F.col("cid") == F.col("node"), "left").select("cid", "hub", F.coalesce("l", "cid").alias("label"))
+    found = found.join(label, F.col("hub") == F.col("node"), "left").select("cid", "hub", "label", (F.col("label") != F.coalesce("l", "hub")).alias("loose"))
+    found = written(found, "near-grouped")
+    groups = found.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("loose").alias("any")).where("k > 1 and any").select("hub")
+    found = written(found.join(small(written(groups, "near-groups")), "hub"), "near-apart")
+    parts = written(differences(found.select("cid", "hub"), sets, percent), "near-parts").join(found, ["hub", "cid"])
+    parts = written(parts, "near-differences")
+    signs = [f"s{k}" for k in range(SIGNATURE)]
+
+    def side(rows: DataFrame, elements: str, end: str) -> DataFrame:
+        rows = rows.select("hub", F.explode(elements).alias("e"), F.size("added").alias("d"), "cid", "i", "n", "label", "loose", *signs)
+        return rows.toDF(*[f"{c}{end}" for c in rows.columns])
+
+    lacks = " + ".join(f"bit_count({s}y & ~{s}x)" for s in signs)
+    # what a link still needs in shared additions, times 100 + percent
+    need = f"({percent} * (nx + ny) - {100 + percent} * (ix - ({lacks})))"
+    apart = F.expr(f"hubx = huby and ex = ey and labelx <> labely and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    loose = parts.where("loose")
+    once = F.expr("not loosey or cidx < cidy")
+    shared = side(loose, "added", "x").join(side(parts, "added", "y"), apart & once & F.expr(f"{100 + percent} * least(dx, dy) >= {need}"))
+    shared = shared.select(F.col("cidx").alias("x"), F.col("cidy").alias("y"), "hubx", F.expr(need).alias("need"))
+    shared = shared.groupBy("x", "y", "hubx", "need").agg(F.count(F.lit(1)).alias("c")).where(f"{100 + percent} * c >= need").select("x", "y")
+    inside = side(loose.where(f"100 * i >= {percent} * n"), "lacked", "x").join(side(parts.where("size(probe) > 0"), "probe", "y"), apart & F.expr(f"{need} <= 0"))
+    return shared.union(inside.select(F.col("cidx").alias("x"), F.col("cidy").alias("y"))).distinct()
 
 
 def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -201,7 +250,7 @@ def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> D
     met = written(classes.join(score, "cid"), "near-met")
     ranked = members.join(score, "cid")
     hubs = ranked.groupBy("key").agg(F.max_by("cid", F.struct("score", "cid")).alias("hub"))
-    members = written(members.join(hubs, "key"), "near-hubs")
+    members = written(members.join(hubs, "key").select("cid", "hub").distinct(), "near-hubs")
     # full sets of the classes that met others, from one document each
     wanted = met.select("cid", F.col("doc.doc_id").alias("_id"), F.col("doc.th").alias("_th"))
     texts = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
@@ -216,32 +265,12 @@ def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> D
     sets = written(texts.mapInArrow(listed, "cid binary, shingles binary").dropDuplicates(["cid"]), "near-sets")
     x, y = (met.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "xy")
     like = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    stars = members.where("cid <> hub").select(F.col("cid").alias("x"), F.col("hub").alias("y")).distinct().join(x, "x").join(y, "y").where(like)
+    stars = members.where("cid <> hub").select(F.col("cid").alias("x"), F.col("hub").alias("y")).join(x, "x").join(y, "y").where(like)
     stars = written(verified(estimated(stars), sets), "near-stars")
     linked = F.expr(f"100 * inter >= {percent} * total")
-    links = [stars.where(linked).select("x", "y")]
-    for turn in range(PARTNER_TURNS):
-        labelled, main = _mains(members, components(_union(links)), f"near-mains-{turn}")
-        pick = F.max_by("cid", F.xxhash64("cid", "key", F.lit(turn)))
-        partner = labelled.join(main, "key").where("label = main").groupBy("key").agg(pick.alias("y"))
-        loose = labelled.join(main, "key").where("label <> main").select("key", F.col("cid").alias("x"))
-        pairs = loose.join(written(partner, "near-partners"), "key").select("x", "y").distinct().join(x, "x").join(y, "y").where(like)
-        links.append(written(verified(estimated(pairs), sets), "near-turn").where(linked).select("x", "y"))
-    # pairs of one bucket that are still apart
-    labelled, main = _mains(members, components(_union(links)), "near-mains")
-    far = stars.select(F.col("x").alias("cid"), F.col("y").alias("hub"), (1 - F.col("inter") / F.col("total")).alias("far"))
-    apart = labelled.join(main, "key").join(far, ["cid", "hub"], "left").withColumn("far", F.when(F.col("cid") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-    apart = apart.join(met.select("cid", "regs"), "cid").withColumn("keys", F.expr(BAND_KEYS))
-    apart = written(apart.withColumn("out", F.col("label") != F.col("main")), "near-apart")
-    a = apart.where("out").select("key", *[F.col(c).alias(f"{c}x") for c in ("cid", "n", "label", "far", "regs", "keys")])
-    b = apart.select(F.col("key").alias("keyy"), "out", *[F.col(c).alias(f"{c}y") for c in ("cid", "n", "label", "far", "regs", "keys")])
-    first = F.expr("element_at(keysx, cast(array_position(zip_with(keysx, keysy, (p, q) -> p = q), true) as int)) = key")
-    alike = F.expr(f"aggregate(zip_with(regsx, regsy, (p, q) -> if(p = q, 1, 0)), 0, (s, v) -> s + v) >= {math.floor(REGISTERS * LEAST_ESTIMATE)}")
-    near = F.expr(f"farx is null or fary is null or abs(farx - fary) <= {1 - percent / 100 + 1e-9}")
-    rest = a.join(b, (F.col("key") == F.col("keyy")) & (F.col("labelx") != F.col("labely")) & (~F.col("out") | (F.col("cidx") < F.col("cidy"))) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & near & first & alike)
-    rest = rest.select(F.col("cidx").alias("x"), "nx", F.col("regsx").alias("rx"), F.col("cidy").alias("y"), "ny", F.col("regsy").alias("ry"))
-    rest = written(verified(estimated(rest), sets), "near-rest")
-    return _union([*links, rest.where(linked).select("x", "y")])
+    links = stars.where(linked).select("x", "y")
+    rest = written(verified(residual_pairs(members, components(links), sets, percent), sets), "near-rest")
+    return links.union(rest.where(linked).select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

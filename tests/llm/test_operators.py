@@ -132,6 +132,21 @@ def test_near_dedup_large_group(spark):
     assert key(got) == key(near_brute(rows))
 
 
+def test_near_dedup_edits_of_one_text(spark):
+    """Members far from the hub, with replaced, dropped and shared edits."""
+    for seed in range(3):
+        rng, rows = random.Random(seed), []
+        for i in range(160):
+            w = BASE.split()[: rng.choice([120, 120, 112, 95])]
+            for _ in range(rng.randrange(11)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["x"], ["y", "z"]])
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = near_dedup.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert key(got) == key(near_brute(rows))
+
+
 def test_joint_estimate():
     u, v = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     values = np.concatenate([common.mix(u), common.mix(v)])
