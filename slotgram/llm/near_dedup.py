@@ -15,9 +15,10 @@ hash i gives to the set, truncated to 16 bits: registers of a union are register
    a few, lacks too: fewer than a (|H| - |y|) with a = t / (1 + t).  (|x & H| < a (|x| + |H|),
    and without shared additions |x & y| = |x & H| - |lacks(y) - lacks(x)| must reach
    a (|x| + |y|).)  So pairs meet on added shingles, which are the rare ones in a group of
-   near copies, or on so many lacked shingles of y plus one, and pass only if the bound on
-   |x & y|, with a bit signature of what each lacks, allows a link.  Edits of one text, which
-   would meet in every bucket, so do not meet as pairs.  No member is capped or sampled.
+   near copies, or on that many lacked shingles of y, and pass only if the bound on |x & y|,
+   with a bit signature of what each lacks and the place of the shared shingle in the order of
+   each side, allows a link.  Edits of one text, which would meet in every bucket, so do not
+   meet as pairs.  No member is capped or sampled.
 5. Pairs of a hub are compared in full if the joint likelihood estimate from registers and set
    sizes is not far below the threshold, other pairs always; full sets confirm each link.
 
@@ -224,7 +225,7 @@ def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     signs = [f"s{k}" for k in range(SIGNATURE)]
 
     def side(rows: DataFrame, elements: str, end: str) -> DataFrame:
-        rows = rows.select("hub", F.explode(elements).alias("e"), F.size("added").alias("d"), "cid", "i", "n", "label", "loose", *signs)
+        rows = rows.select("hub", F.posexplode(elements).alias("p", "e"), F.size("added").alias("d"), "cid", "i", "n", "label", "loose", *signs)
         return rows.toDF(*[f"{c}{end}" for c in rows.columns])
 
     lacks = " + ".join(f"bit_count({s}y & ~{s}x)" for s in signs)
@@ -233,11 +234,10 @@ def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     apart = F.expr(f"hubx = huby and ex = ey and labelx <> labely and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     loose = parts.where("loose")
     once = F.expr("not loosey or cidx < cidy")
-    shared = side(loose, "added", "x").join(side(parts, "added", "y"), apart & once & F.expr(f"{100 + percent} * least(dx, dy) >= {need}"))
-    shared = shared.select(F.col("cidx").alias("x"), F.col("cidy").alias("y"), "hubx", F.expr(need).alias("need"))
-    shared = shared.groupBy("x", "y", "hubx", "need").agg(F.count(F.lit(1)).alias("c")).where(f"{100 + percent} * c >= need").select("x", "y")
+    # added shingles are in one order, so the first shared one leaves enough after it on both sides
+    shared = side(loose, "added", "x").join(side(parts, "added", "y"), apart & once & F.expr(f"{100 + percent} * least(dx - px, dy - py) >= {need}"))
     inside = side(loose.where(f"100 * i >= {percent} * n"), "lacked", "x").join(side(parts.where("size(probe) > 0"), "probe", "y"), apart & F.expr(f"{need} <= 0"))
-    return shared.union(inside.select(F.col("cidx").alias("x"), F.col("cidy").alias("y"))).distinct()
+    return shared.union(inside).select(F.col("cidx").alias("x"), F.col("cidy").alias("y")).distinct()
 
 
 def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
