@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Most bytes of an Arrow batch that a Python task is given, set with the first scratch table.
+ARROW_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,6 +42,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there,
     so a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -182,13 +182,14 @@ def components(links: DataFrame) -> DataFrame:
 def differences(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """hub, cid, i (size of the intersection), n, nh (set sizes), added, lacked (differing
     shingles), probe (enough lacked shingles that one is lacked by every set that links
-    without a shared addition), s0.. (signature of ``lacked``) for pairs (cid, hub)."""
+    without a shared addition), s0.. (signature of ``lacked``), label and loose for pairs (cid,
+    hub, label, loose).  Batches are compared in small slices, so memory is bounded."""
     a, b = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("cid", "hub"))
-    both = pairs.join(a, "cid").join(b, "hub").select("hub", "cid", "s_cid", "s_hub")
+    both = pairs.join(a, "cid").join(b, "hub").select("hub", "cid", "s_cid", "s_hub", "label", "loose")
     signs = [f"s{k}" for k in range(SIGNATURE)]
 
     def compared(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             sizes, lists, marks = [], [], np.zeros((batch.num_rows, SIGNATURE), np.uint64)
             for row, (s, t, c) in enumerate(zip(batch.column("s_cid"), batch.column("s_hub"), batch.column("cid"), strict=True)):
                 u, h = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
@@ -206,9 +207,9 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
             cols = [pa.array([x[k] for x in sizes], pa.int64()) for k in range(3)]
             cols += [pa.array([x[k] for x in lists], pa.list_(pa.int64())) for k in range(3)]
             cols += [pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in range(SIGNATURE)]
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("cid"), *cols], ["hub", "cid", "i", "n", "nh", "added", "lacked", "probe", *signs])
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("cid"), *cols, batch.column("label"), batch.column("loose")], ["hub", "cid", "i", "n", "nh", "added", "lacked", "probe", *signs, "label", "loose"])
 
-    return both.mapInArrow(compared, "hub binary, cid binary, i long, n long, nh long, added array<long>, lacked array<long>, probe array<long>, " + ", ".join(f"{s} long" for s in signs))
+    return both.mapInArrow(compared, "hub binary, cid binary, i long, n long, nh long, added array<long>, lacked array<long>, probe array<long>, " + ", ".join(f"{s} long" for s in signs) + ", label binary, loose boolean")
 
 
 def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -220,8 +221,7 @@ def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     found = written(found, "near-grouped")
     groups = found.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("loose").alias("any")).where("k > 1 and any").select("hub")
     found = written(found.join(small(written(groups, "near-groups")), "hub"), "near-apart")
-    parts = written(differences(found.select("cid", "hub"), sets, percent), "near-parts").join(found, ["hub", "cid"])
-    parts = written(parts, "near-differences")
+    parts = written(differences(found, sets, percent), "near-differences")
     signs = [f"s{k}" for k in range(SIGNATURE)]
 
     def side(rows: DataFrame, elements: str, end: str) -> DataFrame:
