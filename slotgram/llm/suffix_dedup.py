@@ -1,18 +1,21 @@
-"""Repeated passages across documents, by a sparse suffix array.
-
-Of every ``PASSAGE`` consecutive words the suffix at the leftmost least ``GRAM``-word gram is
-retained (a minimiser: chosen by content, so a passage that stands in two documents retains
-the same places in both).  Suffixes whose gram stands in two documents get their context:
-the words to the right and to the left, as far as a passage around the place can reach.  They
-are range-sorted once by the words to the right and once by those to the left; each is
-compared with its neighbours in that order from other documents, and the match is extended to
-both sides.  Matches of ``PASSAGE`` words or more are passages; those that overlap in a
-document are joined.
-
-Range sorting includes the document, so a hot passage spreads over partitions; rows at the
-borders of partitions (bounded by two runs of one document each) are compared in a second
-small step.  Only passages in two different documents (different texts or ids) count;
-repeats inside one document do not.
+"""Repeated passages across documents, by windows around sparse places of content.
+
+Of every ``PASSAGE`` consecutive words (a window) the leftmost least ``GRAM``-word gram is the
+place (a minimiser: chosen by content, so equal windows have equal grams at equal offsets).
+Successive windows with one place form a segment, as in ``substring_dedup``.
+
+1. Grams in segments of two documents are shared; other segments are done with.  If all
+   segments of a shared gram are equal (hash of all their words), they repeat as a whole.
+2. Of the other segments, one of each kind of equal ones is expanded into hashes of its
+   windows, with the least and greatest document that has the kind.  A window repeats if gram
+   and hash, 128 bits of two independent functions, stand in two documents.  No pair of
+   documents is compared, so no partner is lost and nothing grows with the square of a group.
+3. First and last repeated window of each kind go back to its segments: two windows of one
+   segment overlap, so all words between repeat too.  What overlaps in a document is joined.
+
+Counts are pre-aggregated and written; the joins back have one row per key on one side, so a
+hot passage is split by adaptive execution.  Only passages in two different documents
+(different texts or ids) count; repeats inside one document do not.
 
 Nulls: null text has no words; null ids work like values.  Repeated rows (same id, same text)
 are one document.  Empty tables give an empty result.
@@ -22,179 +25,89 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from slotgram.llm.common import Words, table, text_chunks, written
-from slotgram.llm.substring_dedup import window_anchors
+from slotgram.llm.common import Words, ranges, table, text_chunks, written
+from slotgram.llm.substring_dedup import segments
 
 PASSAGE, GRAM = 50, 10
 
 
-def _places(docs: DataFrame, passage: int, gram: int) -> DataFrame:
+def _segments(docs: DataFrame, passage: int, gram: int) -> DataFrame:
+    """h, d (hash of the segment's words), doc_id, th, first, last (window starts)."""
+
     def found(batches):
         for batch in batches:
             for i, j, buf, offsets in text_chunks(batch):
                 words = Words(buf, offsets)
-                _, least, grams = window_anchors(words, passage, gram)
-                at = np.unique(least)
-                text = words.text_of()[at]
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array((at - words.first[text]).astype(np.int32))], ["h", "doc_id", "th", "at"])
+                h, first, last, text = segments(words, passage, gram)
+                base, part = words.first[text], batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(words.spans(first, last + passage).view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["h", "d", "doc_id", "th", "first", "last"])
 
-    return docs.mapInArrow(found, StructType([StructField("h", LongType()), docs.schema["doc_id"], docs.schema["th"]]).add("at", "integer"))
+    return docs.mapInArrow(found, StructType([StructField("h", LongType()), StructField("d", LongType()), docs.schema["doc_id"], docs.schema["th"]]).add("first", "integer").add("last", "integer"))
 
 
-def _suffixes(docs: DataFrame, places: DataFrame, passage: int, gram: int) -> DataFrame:
-    """h, after, before (4 bytes for each word, nearest first), doc_id, th, at."""
-    lists = places.groupBy("doc_id", "th").agg(F.collect_set("at").alias("places")).withColumnsRenamed({"doc_id": "i", "th": "t"})
-    both = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "places")
+HOLDERS = ["lo", "hi", "least", "most"]
 
-    def found(batches):
-        for batch in batches:
-            for i, j, buf, offsets in text_chunks(batch):
-                words, part = Words(buf, offsets), batch.slice(i, j - i)
-                lists_ = part.column("places")
-                text = np.repeat(np.arange(j - i), np.asarray(lists_.value_lengths()))
-                base, end = words.first[text], words.first[text + 1]
-                at = np.asarray(lists_.flatten()).astype(np.int64) + base
-                short = (words.hashes >> np.uint64(32)).astype(">u4")
-                after = np.minimum(passage, end - at)
-                before = np.minimum(passage - gram, at - base)
-                right = [short[b : b + k].tobytes() for b, k in zip(at, after, strict=True)]
-                left = [short[b : b + k][::-1].tobytes() for b, k in zip(at - before, before, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words.spans(at, at + gram).view(np.int64)), pa.array(right, pa.binary()), pa.array(left, pa.binary()), part.column("doc_id").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array((at - base).astype(np.int32))], ["h", "after", "before", "doc_id", "th", "at"])
-
-    return both.mapInArrow(found, StructType([StructField("h", LongType())]).add("after", "binary").add("before", "binary").add(docs.schema["doc_id"]).add(docs.schema["th"]).add("at", "integer"))
-
-
-def _context(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each row, padded to ``width``, and their number."""
-    raw = column.cast(pa.large_binary())
-    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    n = (np.diff(offsets) // 4).astype(np.int64)
-    out = np.zeros((len(raw), width), np.uint32)
-    if offsets[-1] > offsets[0]:
-        flat = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint32)
-        out[np.arange(width) < n[:, None]] = flat
-    return out, n
-
-
-def _common(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Equal leading words of rows i and j."""
-    differ = m[i] != m[j]
-    k = np.where(differ.any(1), differ.argmax(1), m.shape[1])
-    return np.minimum(k, np.minimum(n[i], n[j]))
-
-
-def _matches(rows: pa.Table, passage: int, gram: int) -> pa.Table:
-    """Passages between each row and the nearest rows of other documents, above and below."""
-    h, th = np.asarray(rows["h"]), np.asarray(rows["th"])
-    ids = np.asarray(rows["doc_id"].fill_null(-(2**63)).cast(pa.int64()))
-    n = len(h)
-    new = np.ones(n + 1, bool)
-    new[1:-1] = (th[1:] != th[:-1]) | (ids[1:] != ids[:-1])
-    starts = np.flatnonzero(new)
-    run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    above, below = starts[run] - 1, starts[run + 1]
-    right, n_right = _context(rows["after"].combine_chunks(), passage)
-    left, n_left = _context(rows["before"].combine_chunks(), passage - gram)
-    at, out = np.asarray(rows["at"]).astype(np.int64), []
-    for other in (above, below):
-        i = np.flatnonzero((other >= 0) & (other < n))
-        i = i[h[i] == h[other[i]]]
-        r, k = _common(right, n_right, i, other[i]), _common(left, n_left, i, other[i])
-        ok = r + k >= passage
-        i = i[ok]
-        out.append(pa.table({"doc_id": rows["doc_id"].take(pa.array(i)), "th": rows["th"].take(pa.array(i)), "start": pa.array(at[i] - k[ok]), "end": pa.array(at[i] + r[ok]), "other": rows["doc_id"].take(pa.array(other[i]))}))
-    return pa.concat_tables(out)
-
-
-def _neighbours(suffixes: DataFrame, by: str, passage: int, gram: int) -> DataFrame:
-    """doc_id, th, start, end, other: matches between neighbours in the order by ``by``."""
-    order = ["h", by, "doc_id", "th", "at"]
-    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    names, edge_names = ["doc_id", "th", "start", "end", "other"], ["h", "after", "before", "doc_id", "th", "at"]
-    id_type = suffixes.schema["doc_id"].dataType
-    schema = StructType([StructField("doc_id", id_type)]).add("th", "long").add("start", "long").add("end", "long").add("other", id_type).add("h", "long").add("after", "binary").add("before", "binary").add("at", "integer").add("part", "integer").add("ord", "long")
-    edge_order = names + ["h", "after", "before", "at", "part", "ord"]
-
-    def edge(rows: pa.Table, part: int, base: int) -> pa.Table:
-        n = len(rows)
-        none = lambda t: pa.nulls(n, t)
-        found = {c: rows[c] for c in edge_names} | {"start": none(pa.int64()), "end": none(pa.int64()), "other": none(rows["doc_id"].type), "part": pa.array(np.full(n, part, np.int32)), "ord": pa.array(np.arange(base, base + n))}
-        return pa.table({c: found[c] for c in edge_order})
-
-    def plain(rows: pa.Table) -> pa.Table:
-        n = len(rows)
-        found = {c: rows[c] for c in names} | {"h": pa.nulls(n, pa.int64()), "after": pa.nulls(n, pa.binary()), "before": pa.nulls(n, pa.binary()), "at": pa.nulls(n, pa.int32()), "part": pa.nulls(n, pa.int32()), "ord": pa.nulls(n, pa.int64())}
-        return pa.table({c: found[c] for c in edge_order})
-
-    def tail(rows: pa.Table) -> int:
-        """First row of the last two runs of one document: what later rows may need."""
-        key = list(zip(rows["doc_id"].to_pylist(), rows["th"].to_pylist(), strict=True))
-        i = len(key) - 1
-        while i > 0 and key[i - 1] == key[-1]:
-            i -= 1
-        j = max(i - 1, 0)
-        while j > 0 and key[j - 1] == key[j]:
-            j -= 1
-        return j
 
-    def found(batches):
-        part, kept, base = TaskContext.get().partitionId(), None, 0
-        head = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(edge_names)
-            if not len(rows):
-                continue
-            rows = pa.concat_tables([kept, rows]).combine_chunks() if kept is not None else rows
-            if head is None:
-                last = len(rows) - 1 - tail(rows.take(pa.array(np.arange(len(rows))[::-1])))
-                head = edge(rows.slice(0, last + 1), part, base)
-                yield from head.to_batches()
-            yield from plain(_matches(rows, passage, gram)).to_batches()
-            j = tail(rows)
-            base, kept = base + j, rows.slice(j)
-        if kept is not None:
-            yield from edge(kept, part, base).to_batches()
-
-    both = written(ordered.mapInArrow(found, schema), "suffix-matches")
-
-    edges = both.where("part is not null").dropDuplicates(["part", "ord"]).select("part", "ord", *edge_names)
-
-    def compared(batches):
-        kept = None
+def _holders(lo, hi, least, most) -> list:
+    """Two documents' keys, which differ if there are two, and the least and greatest id."""
+    return [F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(least).alias("least"), F.max(most).alias("most")]
+
+
+def _windows(docs: DataFrame, kinds: DataFrame, passage: int) -> DataFrame:
+    """h, w (hash of a window), d, k (its number in the segment), lo, hi, least, most: the
+    windows of the segments of ``kinds``."""
+    names = ["h", "d", *HOLDERS, "first", "last"]
+    lists = kinds.groupBy("i", "t").agg(F.collect_list(F.struct(*names)).alias("segs"))
+    both = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("text", "segs")
+
+    def hashed(batches):
         for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(edge_names)
-            if len(rows):
-                rows = pa.concat_tables([kept, rows]).combine_chunks() if kept is not None else rows
-                yield from _matches(rows, passage, gram).combine_chunks().to_batches()
-                kept = rows.slice(tail(rows))
+            for i, j, buf, offsets in text_chunks(batch):
+                words, segs = Words(buf, offsets), batch.column("segs").slice(i, j - i)
+                flat, text = segs.flatten(), np.repeat(np.arange(j - i), np.asarray(segs.value_lengths()))
+                fields = dict(zip(names, flat.flatten(), strict=True))
+                first, last = (np.asarray(fields[c]).astype(np.int64) + words.first[text] for c in ("first", "last"))
+                ends = np.append(0, np.cumsum(last - first + 1))
+                cuts = np.searchsorted(ends, np.arange(0, ends[-1], 1 << 16))
+                for a, b in zip(cuts, np.append(cuts[1:], len(first)), strict=True):
+                    n = (last - first + 1)[a:b]
+                    k, row = ranges(n), pa.array(np.repeat(np.arange(a, b), n))
+                    start = np.repeat(first[a:b], n) + k
+                    yield pa.RecordBatch.from_arrays([fields["h"].take(row), pa.array(words.spans(start, start + passage).view(np.int64)), fields["d"].take(row), pa.array(k.astype(np.int32)), *(fields[c].take(row) for c in HOLDERS)], ["h", "w", "d", "k", *HOLDERS])
 
-    more = edges.coalesce(1).sortWithinPartitions("part", "ord").mapInArrow(compared, schema[:5])
-    return both.where("part is null").select(*names).union(more.select(*names))
+    return both.mapInArrow(hashed, "h long, w long, d long, k int, lo long, hi long, least long, most long")
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """doc_id, th, start, end (words), other (least id of a matched document, if not null): one
-    row for each joined passage of ``docs`` (doc_id, text)."""
+    """doc_id, th, start, end (words), other: one row for each joined passage of ``docs``
+    (doc_id, text).  ``other`` is the least id of the documents that hold one of its windows;
+    where that is the document's own, the greatest; null if there is no other id."""
     docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     docs = docs.select("doc_id", "th", "text")
-    places = written(_places(docs, passage, gram).distinct(), "suffix-places")
-    own = F.xxhash64("doc_id", "th")
-    shared = places.groupBy("h").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("h")
-    shared = written(shared, "suffix-shared")
-    suffixes = written(_suffixes(docs.dropDuplicates(["doc_id", "th"]), places.join(shared, "h"), passage, gram), "suffix-contexts")
-    found = _neighbours(suffixes, "after", passage, gram).union(_neighbours(suffixes, "before", passage, gram))
-    lists = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "other"))).alias("spans"))
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<start: bigint, end: bigint, other: bigint>>), (done, x) ->
+    segs = written(_segments(docs, passage, gram), "suffix-segments")
+    own, number = F.xxhash64("doc_id", "th"), F.col("doc_id").cast("long")
+    shared = segs.groupBy("h").agg(*_holders(own, own, number, number), (F.min("d") != F.max("d")).alias("mixed")).where("lo <> hi")
+    flagged = written(segs.join(written(shared.select("h", "least", "most", "mixed"), "suffix-shared"), "h"), "suffix-flagged")
+    whole = flagged.where("not mixed").select("doc_id", "th", F.col("first").alias("start"), F.col("last").alias("end"), "least", "most")
+    mixed = flagged.where("mixed").select("h", "d", "doc_id", "th", "first", "last")
+    which = F.xxhash64("doc_id", "th", "first")
+    kinds = mixed.groupBy("h", "d").agg(*_holders(own, own, number, number), *(F.min_by(c, which).alias(n) for c, n in (("doc_id", "i"), ("th", "t"), ("first", "first"), ("last", "last"))))
+    windows = written(_windows(docs, kinds, passage), "suffix-windows")
+    twice = written(windows.groupBy("h", "w").agg(*_holders("lo", "hi", "least", "most")).where("lo <> hi").select("h", "w", "least", "most"), "suffix-twice")
+    hits = windows.select("h", "w", "d", "k").join(twice, ["h", "w"]).groupBy("h", "d").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("least").alias("least"), F.max("most").alias("most"))
+    part = mixed.join(written(hits, "suffix-hits"), ["h", "d"]).select("doc_id", "th", (F.col("first") + F.col("k0")).alias("start"), (F.col("first") + F.col("k1")).alias("end"), "least", "most")
+    spans = F.struct(F.col("start").cast("long").alias("start"), (F.col("end") + passage).cast("long").alias("end"), "least", "most")
+    lists = whole.union(part).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(spans)).alias("spans"))
+    joined = F.expr("""aggregate(spans, cast(array() as array<struct<start: bigint, end: bigint, least: bigint, most: bigint>>), (done, x) ->
         if(size(done) > 0 and x.start <= element_at(done, -1).end,
-           concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end), 'other', least(element_at(done, -1).other, cast(x.other as bigint))))),
-           concat(done, array(named_struct('start', x.start, 'end', x.end, 'other', cast(x.other as bigint))))))""")
-    return lists.select("doc_id", "th", F.explode(joined).alias("s")).select("doc_id", "th", "s.start", "s.end", "s.other")
+           concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end), 'least', least(element_at(done, -1).least, x.least), 'most', greatest(element_at(done, -1).most, x.most)))),
+           concat(done, array(x))))""")
+    other = F.when(~F.col("s.least").eqNullSafe(number), F.col("s.least")).when(~F.col("s.most").eqNullSafe(number), F.col("s.most"))
+    return lists.select("doc_id", "th", F.explode(joined).alias("s")).select("doc_id", "th", "s.start", "s.end", other.alias("other"))
 
 
 def query(spark, sf_dir) -> DataFrame:

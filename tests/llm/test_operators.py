@@ -94,6 +94,31 @@ def test_suffix_dedup(spark, docs, none):
     assert suffix_dedup.repeated_passages(none).count() == 0
 
 
+def test_suffix_dedup_edited_copies(spark):
+    """Many edited copies: partners sort far apart, and every repeated word must be found."""
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) for _ in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.05 else "e%d" % rng.randrange(10**9) for w in base)) for i in range(300)] + [(None, " ".join(base[:60])), (7, " ".join(base[100:260])), (7, " ".join(base[100:260]))]
+    seen, want, ids = {}, {}, {}
+    for i, t in set(rows):
+        w = t.split()
+        for s in range(len(w) - 49):
+            seen.setdefault(tuple(w[s : s + 50]), set()).add((i, t))
+    for i, t in set(rows):
+        w = t.split()
+        for s in range(len(w) - 49):
+            if len(holders := seen[tuple(w[s : s + 50])]) > 1:
+                want.setdefault((i, t), set()).update(range(s, s + 50))
+                ids.setdefault((i, t), set()).update(d for d, _ in holders - {(i, t)})
+    keys = {r["th"]: r["text"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("th")).collect()}
+    got = {}
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        doc = (r["doc_id"], keys[r["th"]])
+        got.setdefault(doc, set()).update(range(r["start"], r["end"]))
+        assert r["other"] in ids[doc]
+    assert got == want and len(want) > 200
+
+
 def near_brute(rows):
     sets = []
     for _, t in rows:
