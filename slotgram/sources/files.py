@@ -8,7 +8,10 @@ under their names only when the job commits.
 
 from __future__ import annotations
 
+import glob
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +28,67 @@ from slotgram.sources import layouts
 ENTRY = "archive string, codec string, entry_type string, ord int, path string, enc_size long, encoded binary"
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources leave out."""
+    out = name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+    return out and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _left_out(spark: SparkSession, path: str) -> Iterator[tuple[str, int]]:
+    """path, length of the files that the binary source leaves out: empty ones, and those that
+    their name or a folder below ``path`` hides.  Local folders are walked, other stores listed
+    by Hadoop."""
+    if re.match(r"(file:|/|[^:]*$)", path):
+        local = re.sub("^file:(//(?=/))?", "", path)
+        for root in [local] if os.path.exists(local) else glob.glob(local, include_hidden=True):
+            root = os.path.abspath(root)
+            for folder, _, names in os.walk(root) if os.path.isdir(root) else [(os.path.dirname(root), [], [os.path.basename(root)])]:
+                below = [x for x in os.path.relpath(folder, root).split("/") if x not in (".", "..")]
+                for name in names:
+                    full = os.path.join(folder, name)
+                    hidden = any(map(_hidden, [*below, name]))
+                    if os.path.isfile(full) and (hidden or not os.path.getsize(full)):
+                        yield f"file:{full}", os.path.getsize(full)
+        return
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in fs.globStatus(pattern) or ():
+        root = status.getPath().toString()
+        base = root if status.isDirectory() else root.rpartition("/")[0]
+        found = fs.listFiles(status.getPath(), True)
+        while found.hasNext():
+            file = found.next()
+            name, length = file.getPath().toString(), file.getLen()
+            hidden = any(map(_hidden, name[len(base) + 1 :].split("/")))
+            if hidden or not length:
+                yield name, length
+
+
+def _copied(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, length, content of hidden files, through copies with plain names in the folder
+    named by ``spark.checkpoint.dir``: no file source of Spark opens a hidden name."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='slotgram-')}"
+    folder, java = f"{shared.rstrip('/')}/hidden-{uuid.uuid4().hex}", spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for i, path in enumerate(paths):
+        source, target = java.Path(path), java.Path(f"{folder}/{i}")
+        java.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    names = spark.createDataFrame(list(enumerate(paths)), "i long, name string")
+    copies = spark.read.format("binaryFile").load(folder).withColumn("i", F.regexp_extract("path", "[0-9]+$", 0).cast("long"))
+    return copies.join(names, "i").select(F.col("name").alias("path"), "length", "content")
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content of all files under ``path``, or of one file.  The binary source
-    leaves out empty files and names that begin with ``_`` or ``.``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    leaves out empty files and names that begin with ``_`` or ``.``; these are listed on the
+    driver and added."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    more = list(_left_out(spark, path))
+    if empty := [(p, 0, b"") for p, n in more if not n]:
+        found = found.union(spark.createDataFrame(empty, "path string, length long, content binary"))
+    if hidden := [p for p, n in more if n]:
+        found = found.union(_copied(spark, hidden))
+    return found
 
 
 def text_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -143,6 +143,25 @@ def test_pack_and_unpack(spark, tmp_path):
         files.find_codec("none", codecs)
 
 
+def test_hidden_and_empty_files(spark, tmp_path):
+    source = tmp_path / "_books"
+    contents = {"one.txt": "the thing", "_two.txt": "the sing", ".three": "the ring\n", "empty.txt": "", ".none": "", "__init__.py": "the = 1", "_deep/.er/four.txt": "the king", "_deep/empty": ""}
+    for name, value in contents.items():
+        (source / name).parent.mkdir(parents=True, exist_ok=True)
+        (source / name).write_text(value)
+    codecs = str(tmp_path / "codecs")
+    assert {r["token"] for r in api.train(spark, str(source), "en", codecs, min_freq=5, max_len=3).collect()} == {"the", "he "}
+    archive = api.pack(spark, str(source), "en", str(tmp_path), codecs, 1, strict=True)
+    api.unpack(spark, archive, str(tmp_path / "out"), folder=codecs)
+    out = tmp_path / "out/_books"
+    assert {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc")} == contents
+    for name in (".three", "empty.txt"):
+        single = api.pack(spark, str(source / name), "en", str(tmp_path / "files"), codecs, 1, strict=True)
+        api.unpack(spark, single, str(tmp_path / "single"), folder=codecs)
+        assert (tmp_path / "single" / name).read_text() == contents[name]
+    assert {r["path"].rpartition("_books/")[2]: bytes(r["content"]).decode() for r in files.scan(spark, f"file://{source}").collect()} == contents
+
+
 def test_streamed_counts(spark, tmp_path):
     rows = spark.createDataFrame([("abab",), ("bab",), (None,)], "text string")
     for i in range(2):
