@@ -13,6 +13,9 @@ so a text gives a row for about 13 words, and equal windows have equal fingerpri
    expanded into hashes of their windows.  A window repeats if its fingerprint and its hash,
    128 bits of two independent functions, come twice.
 3. Words under repeated windows are removed; windows are judged on the input.
+4. An index that is given stays for later calls: it also keeps the window hashes of all kinds of
+   segments (about 8 bytes a word), and later calls verify against these, so a window repeats
+   too if an earlier call saw it.  Earlier results do not change.
 
 Counts are pre-aggregated and written, and the joins back from counts to rows have one row
 per key on one side, so a hot passage is split by adaptive execution (an aggregate right under
@@ -76,10 +79,12 @@ def _fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (h, n) of historical fingerprints."""
+    """Sorted immutable runs (h, n) of historical fingerprints, and runs (h, d, windows) of the
+    segments of earlier calls."""
 
     def __init__(self, fan_in: int = FAN_IN):
         self.runs: list[DataFrame] = []
+        self.windows: list[DataFrame] = []
         self.fan_in = fan_in
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
@@ -100,6 +105,27 @@ class FingerprintIndex:
             merged = merged.union(run)
         self.runs = [written(merged.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "index-run")]
 
+    def keep(self, segs: DataFrame) -> None:
+        """Keeps one of each kind of a call's segments (h, d, windows) for later calls."""
+        self.windows.append(self._kinds(segs.select("h", "d", "windows")))
+        if len(self.windows) > self.fan_in:
+            merged = self.windows[0]
+            for run in self.windows[1:]:
+                merged = merged.union(run)
+            self.windows = [self._kinds(merged)]
+
+    def known(self, shared: DataFrame) -> DataFrame | None:
+        """Earlier calls' segments (h, d, windows) with a fingerprint of ``shared`` (h)."""
+        found = None
+        for run in self.windows:
+            some = run.join(shared.hint("merge"), "h", "left_semi")
+            found = some if found is None else found.union(some)
+        return None if found is None else written(found.dropDuplicates(["h", "d"]), "index-known")
+
+    @staticmethod
+    def _kinds(segs: DataFrame) -> DataFrame:
+        return written(segs.dropDuplicates(["h", "d"]).sortWithinPartitions("h"), "index-windows")
+
 
 WINDOWS = StructType([StructField("h", LongType()), StructField("d", LongType()), StructField("uid", LongType()), StructField("doc_id", LongType()), StructField("th", LongType()), StructField("first", LongType()), StructField("windows", ArrayType(LongType()))])
 
@@ -130,31 +156,42 @@ def _expanded(docs: DataFrame, flagged: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, th, spans array<struct<start, end>>: word ranges of ``docs`` (doc_id, th, text)
-    whose windows also start elsewhere.  ``docs`` pass through ``index`` in ``batches``."""
+    whose windows also start elsewhere, in ``docs`` or in those of earlier calls with ``index``.
+    ``docs`` pass through ``index`` in ``batches``."""
     prints = written(_fingerprints(docs, window, gram), "dedup-fingerprints")
-    index = index or FingerprintIndex()
+    lasting, index = index is not None, index or FingerprintIndex()
     shared = None
     for b in range(batches):
         new = index.add(prints.where(F.pmod("th", F.lit(batches)) == b).select("h"))
         shared = new if shared is None else shared.union(new)
     index.compact()
-    flagged = prints.join(written(shared.distinct(), "dedup-shared"), "h")
+    shared = written(shared.distinct(), "dedup-shared")
+    flagged = prints.join(shared, "h")
     full = written(_expanded(docs, flagged, window), "dedup-windows")
-    kinds = written(full.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("one")), "dedup-kinds")
+    known = index.known(shared)
+    every = full.select("h", "d", "uid")
+    every = every if known is None else every.union(known.select("h", "d", F.lit(None).cast("long")))
+    kinds = written(every.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("one")), "dedup-kinds")
     joined = full.join(kinds, ["h", "d"])
     copies = joined.where("n > 1").select("doc_id", "th", "first", (F.col("first") + F.size("windows") - 1).alias("last"))
     loose = joined.where("n = 1 or uid = one").select("h", "doc_id", "th", "n", "first", F.posexplode("windows").alias("k", "w")).select("h", "w", "doc_id", "th", "n", (F.col("first") + F.col("k")).alias("at"))
     loose = written(loose, "dedup-loose")
-    twice = written(loose.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "w"), "dedup-twice")
+    seen = loose.select("h", "w")
+    seen = seen if known is None else seen.union(known.select("h", F.explode("windows")))
+    twice = written(seen.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "w"), "dedup-twice")
     single = loose.where("n = 1").join(twice, ["h", "w"]).select("doc_id", "th", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = copies.union(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end"))).alias("spans"))
-    return written(spans, "dedup-spans")
+    spans = written(spans, "dedup-spans")
+    if lasting:
+        index.keep(_expanded(docs, prints, window))
+    return spans
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the other words joined by a space), for each row."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the other words joined by a space), for each row.  With
+    ``index``, repeats of earlier calls with the same ``index`` and ``window`` go too."""
     docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(docs, window, gram, batches).withColumnsRenamed({"doc_id": "i", "th": "t"})
+    spans = repeated_spans(docs, window, gram, batches, index).withColumnsRenamed({"doc_id": "i", "th": "t"})
     both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "spans")
     schema = StructType([docs.schema["doc_id"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 

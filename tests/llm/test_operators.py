@@ -76,6 +76,26 @@ def test_index_runs_and_compaction(spark):
     assert len(index.runs) <= 2
 
 
+def test_repeats_of_earlier_calls(spark):
+    """Calls that share an index: each is judged against itself and all earlier ones."""
+    rng = random.Random(9)
+    old, long = prose(90, rng), prose(200, rng)
+    calls = [
+        [(1, old), (2, prose(80, rng)), (3, long)],
+        [(4, old), (5, prose(20, rng) + " " + " ".join(long.split()[40:120]) + " " + prose(20, rng)), (6, prose(60, rng)), (None, None)],
+        [(7, prose(10, rng) + " " + old), (8, old), (9, prose(50, rng))],
+        [(10, " ".join(long.split()[60:100])), (11, prose(50, rng)), (12, None)],
+    ]
+    index, seen, removed = substring_dedup.FingerprintIndex(fan_in=2), [], []
+    for rows in calls:
+        seen += rows
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = substring_dedup.remove_repeats(df, index=index).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+        assert key(got) == key(substring_dedup.brute(seen)[-len(rows) :])
+        removed.append(sum(r["n_removed"] for r in got))
+    assert removed == [0, 90 + 80, 90 + 90, 40] and len(index.windows) <= 2
+
+
 def test_suffix_dedup(spark, docs, none):
     by_doc, want, seen = {}, {}, {}
     rows = {(i, t) for i, t, *_ in EDGE if t}
