@@ -3,7 +3,9 @@
 Base patterns give spans of kinds assign, access and hex.  Further candidates (PEM armour,
 long base64 or hex runs, dotted tokens) are decoded, and reported only if their inner
 structure holds: DER lengths that nest exactly, SSH length-prefixed fields, a signed token's
-JSON header with an algorithm.  Spans count code points, end exclusive.
+JSON header with an algorithm.  Successive lines are also decoded as one, from the start of
+each line and after each separator (``/ + _ -``), and hex with or without ``0x``; a key found so
+ends where its lengths say.  Spans count code points, end exclusive.
 
 Nulls: null text counts as empty and gives no spans.  Each row is judged by itself, so
 repeated rows, ties and other columns need no care; whole texts are scanned.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -29,6 +32,11 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+BREAK = re.compile(r"(?:\\r)?\\n|[ \t]*\r?\n[ \t]*")
+BLOCK = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:(?:{BREAK.pattern})[A-Za-z0-9+/_-]{{40,}})*(?:(?:{BREAK.pattern})[A-Za-z0-9+/_-]+)?={{0,2}}")
+#: How DER sequences and SSH keys begin in base64 and in hex.
+BEGINS = re.compile(r"M[A-P]|b3BlbnNz|AAAA|(?:0[xX])?(?:30|6[fF]70656[eE]|000000)")
+HEX_RUN = re.compile(r"(?:0[xX])?([0-9A-Fa-f]+)")
 ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
 MAX_DEPTH = 16
 
@@ -94,6 +102,70 @@ def is_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and body is not None
 
 
+def der_size(data: bytes) -> int:
+    """Bytes of the DER sequence that begins ``data``, by its header; else -1."""
+    if len(data) < 2 or data[0] != 0x30:
+        return -1
+    size = data[1] & 0x7F if data[1] & 0x80 else 0
+    if size > 4 or len(data) < 2 + size or data[1] == 0x80:
+        return -1
+    return 2 + (size + int.from_bytes(data[2 : 2 + size], "big") if size else data[1])
+
+
+def key_at(text: str, at: int, cuts: list[int]) -> tuple[int, str] | None:
+    """End and kind of a key that begins at ``at`` of joined lines and ends at a separator or at
+    one of ``cuts`` (starts of lines and the end of ``text``)."""
+    last = cuts[bisect.bisect_right(cuts, at) :]
+
+    def whole(end: int) -> bool:
+        return text[end : end + 1] in ("", *"/+_-") or end in last
+
+    for first, run_end, width, raw in (
+        *((m.start(1), m.end(), 2, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None) for m in [HEX_RUN.match(text, at)] if m),
+        (at, len(text), 4 / 3, unbase64),
+    ):
+        begin = raw(text[first : min(first + 24, first + (run_end - first) // 4 * 4)]) or b""
+        n = der_size(begin)
+        if n >= 0:
+            end = first + (2 * n if width == 2 else -(-4 * n // 3))
+            if end <= run_end and (data := raw(text[first:end])) and is_der(data):
+                while width != 2 and end < len(text) and text[end] == "=":
+                    end += 1
+                if whole(end):
+                    return end, "der"
+        elif begin.startswith(b"openssh-") or begin[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+            for end in sorted({*(c for c in last if c <= run_end), run_end}, reverse=True):
+                if whole(end) and (data := raw(text[first:end])) and is_ssh(data):
+                    return end, "ssh"
+    return None
+
+
+def block_keys(block: str, escaped: bool) -> list[tuple[int, int, str]]:
+    """Keys in successive lines; ``escaped``: a backslash stands before ``block``."""
+    starts, ends = [0], []
+    for m in BREAK.finditer(block):
+        starts.append(m.end())
+        ends.append(m.start())
+    ends.append(len(block))
+    if len(starts) > 1 and block.startswith("--", starts[-1]):  # the armour's last line
+        del starts[-1], ends[-1]
+    text = "".join(block[a:b] for a, b in zip(starts, ends, strict=True))
+    lines = [0]
+    for a, b in zip(starts, ends, strict=True):
+        lines.append(lines[-1] + b - a)
+
+    def place(i: int) -> int:
+        k = bisect.bisect_right(lines, i) - 1
+        return starts[k] + i - lines[k]
+
+    found, done = [], 0
+    for at in sorted({*lines[:-1], *(m.end() for m in re.finditer("[/+_-]", text)), *([1] if escaped and text[0] in "nrt" else [])}):
+        if at >= done and BEGINS.match(text, at) and (key := key_at(text, at, lines)):
+            done = key[0]
+            found.append((place(at), place(done - 1) + 1, key[1]))
+    return found
+
+
 def structural(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN " in text:
@@ -106,8 +178,12 @@ def structural(text: str) -> list[tuple[int, int, str]]:
         for m in DOTTED.finditer(text):
             if is_token(m[1], m[2]):
                 found.append((m.start(), m.end(), "jwt"))
+    for b in BLOCK.finditer(text):
+        if BEGINS.search(b[0]) and not any(s <= b.start() < e for s, e, _ in taken):
+            more = [(b.start() + s, b.start() + e, k) for s, e, k in block_keys(b[0], text[b.start() - 1 : b.start()] == "\\")]
+            found, taken = found + more, taken + more
     for m in RUN.finditer(text):
-        if any(s <= m.start() < e for s, e, _ in taken):
+        if any(s < m.end() and m.start() < e for s, e, _ in taken):
             continue
         run = m[0]
         data = bytes.fromhex(run) if len(run) % 2 == 0 and ALL_HEX.fullmatch(run) else unbase64(run)

@@ -273,6 +273,32 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_in_lines_and_after_prefixes(spark):
+    key_ = der(0x30, der(0x02, b"\0") + der(0x02, bytes(range(1, 120))) + der(0x04, bytes(range(200))))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + bytes(range(250))
+    one, cut = base64.b64encode(key_).decode(), lambda t, n, by="\n": by.join(t[i : i + n] for i in range(0, len(t), n))
+    cases = [
+        ("see\n", cut(one, 64), "\nNext line", "der"),
+        ("see\r\n", cut(one, 76, "\r\n"), "", "der"),
+        ("-----BEGIN PRIVATE KEY-----\n", cut(one, 64), "\n\nthe end is missing", "der"),
+        ('{"key": "-----BEGIN PRIVATE KEY-----\\n', cut(one, 64, "\\n"), '\\n"}', "der"),
+        ("-----BEGIN OPENSSH PRIVATE KEY-----\n", cut(base64.b64encode(ssh).decode(), 70), "\n", "ssh"),
+        ("key ", "0x" + key_.hex(), " end", "der"),
+        ("etc/keys/", one, "", "der"),
+        ("my-", one, " end", "der"),
+        ("x_", key_.hex(), "", "der"),
+        ("", one, " alone", "der"),
+    ]
+    for before, secret, after, kind in cases:
+        text = before + secret + after
+        assert [(text[s:e], k) for s, e, k in secrets.structural(text)] == [(secret, kind)], (before, after)
+    spoilt = one[:3] + "Z" + one[4:]
+    assert secrets.structural(cut(spoilt, 64)) == secrets.structural("a/" + spoilt) == []
+    clean = secrets.redact(spark.createDataFrame([(i, "".join(c[:3])) for i, c in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == [b + "[SECRET]" + a for b, _, a, _ in cases]
+
+
 def test_tokens(spark, docs, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
