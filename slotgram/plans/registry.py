@@ -6,6 +6,7 @@ malformed streams) are injected in the query and in its SQL alike.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from slotgram.sources import files, layouts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-GROUPS, TOP, SMALL_K, MIN_FREQ = 4, 100, 256, 5
+GROUPS, TOP, SMALL_K, MIN_FREQ, FULL_HI = 4, 100, 256, 5, 16
 
 
 def query(sql: str | None = None):
@@ -73,6 +74,11 @@ def small_vocab(docs: DataFrame) -> DataFrame:
     return vocab.train(docs, 3, 6, MIN_FREQ, SMALL_K)
 
 
+def full_vocab(docs: DataFrame) -> DataFrame:
+    """The vocabulary that ``vocab.train`` learns by default, counted level by level."""
+    return vocab.with_slots(grams.levelwise(docs, 3, FULL_HI, slots.SLOTS, MIN_FREQ))
+
+
 # --- slots -------------------------------------------------------------------
 
 
@@ -213,43 +219,43 @@ def vocab_partitioned(spark, sf_dir):
 
 
 @query(f"SELECT CAST(slot AS VARCHAR) AS slot, token, '0x1' AS flag_byte FROM ({vocab_sql(3, 6, SMALL_K)})")
-def vocab_json(spark, sf_dir):
-    return vocab.vocab_json(small_vocab(documents(spark, sf_dir)))
+def vocab_json(spark, sf_dir, learn=small_vocab):
+    return vocab.vocab_json(learn(documents(spark, sf_dir)))
 
 
 # --- coding ------------------------------------------------------------------
 
 
 @query(f"{pieces_sql()} SELECT doc_id, count(slot) AS tokens, CAST(coalesce(sum(length(piece)) FILTER (slot IS NOT NULL), 0) AS BIGINT) AS matched_chars FROM j GROUP BY doc_id")
-def encode_tokens(spark, sf_dir):
+def encode_tokens(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
-    return codec.encode(docs, small_vocab(docs), ["doc_id"]).select("doc_id", "tokens", "matched_chars")
+    return codec.encode(docs, learn(docs), ["doc_id"]).select("doc_id", "tokens", "matched_chars")
 
 
 @query(f"{pieces_sql()} SELECT doc_id, any_value(CAST(strlen(text) AS BIGINT)) AS raw_bytes, CAST(sum(length(code) // 2) AS BIGINT) AS enc_bytes, round(sum(length(code) // 2) / any_value(strlen(text)), 6) AS ratio FROM j GROUP BY doc_id")
-def encode_size(spark, sf_dir):
+def encode_size(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
-    return codec.encode(docs, small_vocab(docs), ["doc_id"]).select("doc_id", "raw_bytes", "enc_bytes", F.round(F.try_divide("enc_bytes", "raw_bytes"), 6).alias("ratio"))
+    return codec.encode(docs, learn(docs), ["doc_id"]).select("doc_id", "raw_bytes", "enc_bytes", F.round(F.try_divide("enc_bytes", "raw_bytes"), 6).alias("ratio"))
 
 
 @query(f"{pieces_sql()} SELECT doc_id, string_agg(code, '' ORDER BY k) AS encoded FROM j GROUP BY doc_id")
-def encode_hex(spark, sf_dir):
+def encode_hex(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
-    return codec.encode(docs, small_vocab(docs), ["doc_id"]).select("doc_id", F.hex("encoded").alias("encoded"))
+    return codec.encode(docs, learn(docs), ["doc_id"]).select("doc_id", F.hex("encoded").alias("encoded"))
 
 
 @query(f"{pieces_sql('(SELECT doc_id, replace(text, chr(32), chr(1)) AS text FROM documents)')} SELECT doc_id, md5(string_agg(code, '' ORDER BY k)) AS digest, count(*) FILTER (piece = chr(1)) AS escapes FROM j GROUP BY doc_id")
-def encode_escape(spark, sf_dir):
+def encode_escape(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
     injected = docs.select("doc_id", F.replace("text", F.lit(" "), F.lit("\x01")).alias("text"))
     escapes = F.regexp_count("text", F.lit("\x01")).cast("long")
-    return codec.encode(injected.withColumn("escapes", escapes), small_vocab(docs), ["doc_id", "escapes"]).select("doc_id", F.md5(F.hex("encoded")).alias("digest"), "escapes")
+    return codec.encode(injected.withColumn("escapes", escapes), learn(docs), ["doc_id", "escapes"]).select("doc_id", F.md5(F.hex("encoded")).alias("digest"), "escapes")
 
 
 @query("SELECT doc_id, true AS ok, CAST(length(text) AS BIGINT) AS chars FROM documents")
-def decode_roundtrip(spark, sf_dir):
+def decode_roundtrip(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
-    learned = small_vocab(docs).persist()
+    learned = learn(docs).persist()
     back = codec.decode(codec.encode(docs, learned, ["doc_id", "text"]).withColumnRenamed("text", "original"), learned, ["doc_id", "original"])
     return back.select("doc_id", F.col("original").eqNullSafe(F.col("text")).alias("ok"), F.length("text").cast("long").alias("chars"))
 
@@ -264,16 +270,16 @@ def decode_malformed(spark, sf_dir):
     return codec.decode(rows, known, ["hex"]).select(F.col("hex").alias("encoded"), F.hex(F.encode("text", "UTF-8")).alias("decoded"))
 
 
-def position_matches(docs: DataFrame, learned: DataFrame) -> DataFrame:
+def position_matches(docs: DataFrame, learned: DataFrame, hi: int = 6) -> DataFrame:
     """doc_id, pos, slot, token_bytes: the longest token at each place, by join and max."""
-    found = grams.explode_grams(docs, ["doc_id"], 3, 6).join(F.broadcast(learned), F.col("gram") == F.col("token"))
+    found = grams.explode_grams(docs, ["doc_id"], 3, hi).join(F.broadcast(learned), F.col("gram") == F.col("token"))
     return found.groupBy("doc_id", "pos").agg(F.max_by("slot", F.octet_length("gram")).alias("slot"), F.max(F.octet_length("gram")).alias("token_bytes"))
 
 
 @query(f"WITH v AS MATERIALIZED ({vocab_sql(3, 6, SMALL_K)}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, arg_max(slot, strlen(gram)) AS slot, CAST(max(strlen(gram)) AS INTEGER) AS token_bytes FROM ({grams_sql(3, 6)}) JOIN v ON gram = token GROUP BY doc_id, pos")
-def match_longest_per_pos(spark, sf_dir):
+def match_longest_per_pos(spark, sf_dir, learn=small_vocab, hi=6):
     docs = documents(spark, sf_dir)
-    return position_matches(docs, small_vocab(docs))
+    return position_matches(docs, learn(docs), hi)
 
 
 @query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(strlen(gram)) OVER (PARTITION BY doc_id ORDER BY pos) - strlen(gram) AS BIGINT) AS byte_offset FROM ({grams_sql(1, 1)})")
@@ -284,15 +290,15 @@ def byte_offsets(spark, sf_dir):
 
 
 @query(f"{pieces_sql()} SELECT token, slot, count(piece) AS uses FROM v LEFT JOIN e ON piece = token GROUP BY token, slot")
-def token_usage(spark, sf_dir):
+def token_usage(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
-    learned = small_vocab(docs).persist()
+    learned = learn(docs).persist()
     return learned.join(codec.tokens_used(docs, learned), "token", "left").select("token", "slot", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 @query(f"{pieces_sql()} SELECT token, CAST(count(piece) * (strlen(token) - 3) AS BIGINT) AS saved_bytes FROM v LEFT JOIN e ON piece = token GROUP BY token")
-def vocab_savings(spark, sf_dir):
-    return token_usage(spark, sf_dir).select("token", (F.col("uses") * (F.octet_length("token") - 3)).alias("saved_bytes"))
+def vocab_savings(spark, sf_dir, learn=small_vocab):
+    return token_usage(spark, sf_dir, learn).select("token", (F.col("uses") * (F.octet_length("token") - 3)).alias("saved_bytes"))
 
 
 # --- metadata, names, archives -----------------------------------------------
@@ -313,23 +319,23 @@ def meta_parse(spark, sf_dir):
     return rows.select("id", F.explode(meta.parse_meta(F.col("meta"))))
 
 
-def archived(spark, sf_dir) -> DataFrame:
+def archived(spark, sf_dir, learn=small_vocab) -> DataFrame:
     """Entries after documents were encoded, packed as one directory archive per language,
     and read again."""
     docs = documents(spark, sf_dir)
-    encoded = codec.encode(docs, small_vocab(docs), ["doc_id", "lang"])
+    encoded = codec.encode(docs, learn(docs), ["doc_id", "lang"])
     rows = encoded.select(F.concat("lang", F.lit(".eda")).alias("archive"), F.concat(F.lit("c_"), "lang").alias("codec"), F.concat(F.lit("codec=c_"), "lang").alias("meta"), F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), "encoded")
     return files.archive_entries(files.pack_directories(rows, 1).withColumnRenamed("archive", "path"))
 
 
 @query(f"{pieces_sql()}, s AS (SELECT doc_id, CAST(sum(length(code) // 2) AS BIGINT) AS enc_size FROM j GROUP BY doc_id) SELECT lang || '.eda' AS archive, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS ord, 'doc/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, enc_size FROM s JOIN documents USING (doc_id)")
-def archive_directory(spark, sf_dir):
-    return archived(spark, sf_dir).where("ord > 0").select("archive", "ord", "path", "enc_size")
+def archive_directory(spark, sf_dir, learn=small_vocab):
+    return archived(spark, sf_dir, learn).where("ord > 0").select("archive", "ord", "path", "enc_size")
 
 
 @query(f"{pieces_sql()}, s AS (SELECT doc_id, sum(length(code) // 2) AS enc_size FROM j GROUP BY doc_id) SELECT lang || '.eda' AS archive, 'c_' || lang AS codec, 'D' AS entry_type, count(*) AS entries, CAST(sum(enc_size) AS BIGINT) AS encoded_bytes, 'c_' || lang AS meta_codec FROM s JOIN documents USING (doc_id) GROUP BY lang")
-def archive_summary(spark, sf_dir):
-    return inspect.summary(archived(spark, sf_dir)).withColumn("meta_codec", F.col("meta")["codec"]).drop("meta")
+def archive_summary(spark, sf_dir, learn=small_vocab):
+    return inspect.summary(archived(spark, sf_dir, learn)).withColumn("meta_codec", F.col("meta")["codec"]).drop("meta")
 
 
 @query("SELECT doc_id, true AS ok FROM documents")
@@ -339,17 +345,17 @@ def archive_xz_roundtrip(spark, sf_dir):
 
 
 @query(f"SELECT token, slot FROM ({vocab_sql(3, 6, SMALL_K)})")
-def codec_file_roundtrip(spark, sf_dir):
+def codec_file_roundtrip(spark, sf_dir, learn=small_vocab):
     """Through the bytes of a codec file."""
-    entries = list(codec.vocab_map(small_vocab(documents(spark, sf_dir))).items())
+    entries = list(codec.vocab_map(learn(documents(spark, sf_dir))).items())
     return spark.createDataFrame(layouts.read_codec(layouts.write_codec(entries)), "token string, slot int")
 
 
 @query(f"SELECT lang AS codec, count(*) AS tokens, CAST(sum(strlen(gram) + 3) AS BIGINT) AS entry_bytes FROM (SELECT *, row_number() OVER (PARTITION BY lang {ORDER}) AS r FROM (SELECT lang, gram, count(*) AS cnt FROM ({grams_sql(3, 4, 'lang')}) GROUP BY lang, gram HAVING count(*) >= {MIN_FREQ})) WHERE r <= {SMALL_K} GROUP BY lang")
-def codec_catalog(spark, sf_dir):
-    counts = grams.count_grams(documents(spark, sf_dir), 3, 4, ["lang"]).where(F.col("cnt") >= MIN_FREQ)
+def codec_catalog(spark, sf_dir, hi=4, k=SMALL_K):
+    counts = grams.count_grams(documents(spark, sf_dir), 3, hi, ["lang"]).where(F.col("cnt") >= MIN_FREQ)
     order = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.length("gram"), "gram")
-    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SMALL_K)
+    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return vocab.catalog(top.select(F.col("lang").alias("codec"), F.col("gram").alias("token")))
 
 
@@ -374,3 +380,12 @@ PATHS = {"a/b.txt": True, "/etc/passwd": False, "../up": False, "a/../../up": Fa
 def path_safety(spark, sf_dir):
     rows = spark.createDataFrame([(k,) for k in PATHS], "path string")
     return rows.select("path", meta.is_safe_path(F.col("path")).alias("safe"))
+
+
+# --- the coding queries with the production vocabulary -------------------------
+
+#: 3,570 slots and tokens of 3 to 16 characters; without SQL, whose one regex would be too slow.
+_FULL = (vocab_json, encode_tokens, encode_size, encode_hex, encode_escape, decode_roundtrip, token_usage, vocab_savings, archive_directory, archive_summary, codec_file_roundtrip)
+QUERIES |= {f"{f.__name__}_full": functools.partial(f, learn=full_vocab) for f in _FULL}
+QUERIES["match_longest_per_pos_full"] = functools.partial(match_longest_per_pos, learn=full_vocab, hi=FULL_HI)
+QUERIES["codec_catalog_full"] = functools.partial(codec_catalog, hi=FULL_HI, k=slots.SLOTS)

@@ -1,6 +1,8 @@
 """Golden bytes, round trips, malformed input and exactness of dictionary coding."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from slotgram.functions import codec, meta, slots, text, xz
 from slotgram.functions.paths import checked
 from slotgram.operators import corpus, grams, vocab
-from slotgram.plans import api
+from slotgram.plans import api, registry
 from slotgram.sources import files, layouts
 from slotgram.streaming.counts import running_counts
 
@@ -162,6 +164,49 @@ def test_hidden_and_empty_files(spark, tmp_path):
     assert {r["path"].rpartition("_books/")[2]: bytes(r["content"]).decode() for r in files.scan(spark, f"file://{source}").collect()} == contents
 
 
+def top_grams(texts, k=3570):
+    n = Counter(t[i : i + size] for t in texts for size in range(3, 17) for i in range(len(t) - size + 1))
+    return sorted(((c, g) for g, c in n.items() if c >= 5), key=lambda x: (-x[0], len(x[1]), x[1]))[:k]
+
+
+def test_production_vocabulary(spark, tmp_path):
+    """The coding queries with 3,570 tokens of 3 to 16 characters, by brute force."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdeé\x01") for _ in range(rng.randrange(2, 9))) for _ in range(60)] + ["characteristically", "internationalization"]
+    docs = [(i, "xyz"[i % 3], " ".join(rng.choice(words) for _ in range(rng.randrange(90)))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [s for s in range(4096) if s >> 4 != 1 and s & 255 != 1 and s >> 8 != 1 and s & 15]
+    known = {g: s for (_, g), s in zip(top_grams([t for *_, t in docs]), ids, strict=False)}
+    assert len(known) == 3570 and {len(g) for g in known} == set(range(3, 17))
+    pattern = re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True))) + "|.", re.S)
+    code = lambda p: bytes((1, known[p] >> 4, known[p] & 15)) if p in known else b"\1\0\1" if p == "\1" else p.encode()
+    enc = lambda t: b"".join(map(code, pattern.findall(t)))
+    pieces, data = {i: pattern.findall(t) for i, _, t in docs}, {i: enc(t) for i, _, t in docs}
+    uses = Counter(p for ps in pieces.values() for p in ps)
+    by_lang = {x: [d for d in docs if d[1] == x] for x in "xyz"}
+    cut = {i: t.replace(" ", "\1") for i, _, t in docs}
+    longest = lambda t, i: max((t[i : i + n] for n in range(3, 17) if t[i : i + n] in known and i + n <= len(t)), key=len, default=None)
+    tops = {x: top_grams([t for *_, t in d]) for x, d in by_lang.items()}
+    want = {
+        "encode_tokens": [(i, sum(p in known for p in ps), sum(len(p) for p in ps if p in known)) for i, ps in pieces.items()],
+        "encode_size": [(i, len(t.encode()), len(data[i]), round(len(data[i]) / len(t.encode()), 6) if t else None) for i, _, t in docs],
+        "encode_hex": [(i, x.hex().upper()) for i, x in data.items()],
+        "encode_escape": [(i, hashlib.md5(enc(t).hex().upper().encode()).hexdigest(), t.count("\1")) for i, t in cut.items()],
+        "decode_roundtrip": [(i, True, len(t)) for i, _, t in docs],
+        "token_usage": [(g, s, uses[g]) for g, s in known.items()],
+        "vocab_savings": [(g, uses[g] * (len(g.encode()) - 3)) for g in known],
+        "match_longest_per_pos": [(i, k + 1, known[g], len(g.encode())) for i, _, t in docs for k in range(len(t)) if (g := longest(t, k))],
+        "archive_directory": [(f"{x}.eda", n, f"doc/{i:012d}", len(data[i])) for x, d in by_lang.items() for n, (i, *_) in enumerate(d, 1)],
+        "archive_summary": [(f"{x}.eda", f"c_{x}", "D", len(d), sum(len(data[i]) for i, *_ in d), f"c_{x}") for x, d in by_lang.items()],
+        "vocab_json": [(str(s), g, "0x1") for g, s in known.items()],
+        "codec_file_roundtrip": list(known.items()),
+        "codec_catalog": [(x, len(top), sum(len(g.encode()) + 3 for _, g in top)) for x, top in tops.items()],
+    }
+    for name, rows in want.items():
+        got = registry.QUERIES[f"{name}_full"](spark, str(tmp_path)).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows)), name
+
+
 def test_streamed_counts(spark, tmp_path):
     rows = spark.createDataFrame([("abab",), ("bab",), (None,)], "text string")
     for i in range(2):
