@@ -1,5 +1,5 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, size-checked
-broadcasts, and vectorised word hashing over Arrow string columns.
+"""Shared helpers: size-checked broadcasts, and vectorised word hashing over Arrow string
+columns.
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``.  UTF-8 never uses those
 bytes inside a longer sequence, so byte-wise splitting equals code-point splitting.
@@ -7,8 +7,6 @@ bytes inside a longer sequence, so byte-wise splitting equals code-point splitti
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,10 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side may be broadcast; beyond it joins shuffle.
+from slotgram.scratch import drop, written
+
+__all__ = ["WORD", "Words", "drop", "let", "mix", "ranges", "sliding_min", "small", "table", "text_chunks", "written"]
+
+#: Rows up to which a lookup side may be broadcast; beyond these limits joins shuffle.
 BROADCAST_ROWS = 200_000
-#: Most bytes of an Arrow batch that a Python task is given, set with the first scratch table.
-ARROW_BYTES = 8 << 20
+#: Bytes up to which it may, counted as JSON.
+BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,29 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (local
-    sessions, tests) a temporary one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="slotgram-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there,
-    so a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if counts prove that it has at most ``rows`` rows and, as
+    JSON, at most ``size`` bytes.  Bytes are only counted where the rows are few enough."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    total = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(df[c] for c in df.columns)))))).first()[0] or 0
+    return F.broadcast(df) if total <= size else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, ShortType, StructField, StructType
 
-from slotgram.llm.common import Words, mix, small, table, text_chunks, written
+from slotgram.llm.common import Words, drop, mix, small, table, text_chunks, written
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
@@ -51,6 +51,8 @@ BASE, RATE = 1.001, 20.0
 LEAST_ESTIMATE = 0.62
 #: 64-bit words of the signature of the hub's shingles that a set lacks.
 SIGNATURE = 4
+#: Rows whose registers are computed at once.
+BLOCK = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -77,14 +79,15 @@ def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = len(bounds) - 1
     out = np.zeros((n, REGISTERS), np.int16)
     full = np.flatnonzero(np.diff(bounds))
-    if len(full):
-        starts = bounds[:-1][full]
-        halves = (values >> np.uint64(32)).astype(np.uint32), values.astype(np.uint32)
-        least = np.empty((REGISTERS, len(full)), np.uint32)
+    halves = (values >> np.uint64(32)).astype(np.uint32), values.astype(np.uint32)
+    for at in range(0, len(full), BLOCK):  # blocks of rows bound what the floats below take
+        rows = full[at : at + BLOCK]
+        lo, hi = bounds[rows[0]], bounds[rows[-1] + 1]
+        least = np.empty((REGISTERS, len(rows)), np.uint32)
         for i in range(REGISTERS):
-            least[i] = np.minimum.reduceat(halves[i % 2] * _A[i] + _B[i], starts)
+            least[i] = np.minimum.reduceat(halves[i % 2][lo:hi] * _A[i] + _B[i], bounds[rows] - lo)
         x = -np.log1p(-(least.T + 0.5) / 2.0**32) / RATE
-        out[full] = np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, 32767)
+        out[rows] = np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, 32767)
     return out
 
 
@@ -165,8 +168,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (least node reachable), of the nodes of ``links`` (x, y).  Labels take the
-    least label among neighbours and then their label's label, until none changes; each step
-    is written, and only a count reaches the driver."""
+    least label among neighbours and then their label's label, until none changes, so a chain
+    takes a number of steps that grows with the logarithm of its length; each step is written,
+    and only a count reaches the driver."""
     edges = written(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "components-edges")
     labels = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("label")), "components-labels")
     while True:
@@ -174,9 +178,14 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("label", "m").alias("l"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("l"), F.col("label").alias("ll"))
         new = written(step.join(jump, "l").select("node", F.least("l", "ll").alias("label"), "old"), "components-labels")
+        drop(labels)
         if not new.where("label <> old").limit(1).count():
-            return new.select("node", "label")
+            drop(edges)
+            out = new.select("node", "label")
+            out.scratch_path = new.scratch_path
+            return out
         labels = new.select("node", "label")
+        labels.scratch_path = new.scratch_path
 
 
 def differences(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,9 +228,9 @@ def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     found = members.where("cid <> hub").distinct().join(label, F.col("cid") == F.col("node"), "left").select("cid", "hub", F.coalesce("l", "cid").alias("label"))
     found = found.join(label, F.col("hub") == F.col("node"), "left").select("cid", "hub", "label", (F.col("label") != F.coalesce("l", "hub")).alias("loose"))
     found = written(found, "near-grouped")
-    groups = found.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("loose").alias("any")).where("k > 1 and any").select("hub")
-    found = written(found.join(small(written(groups, "near-groups")), "hub"), "near-apart")
-    parts = written(differences(found, sets, percent), "near-differences")
+    groups = written(found.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("loose").alias("any")).where("k > 1 and any").select("hub"), "near-groups")
+    parts = written(differences(found.join(small(groups), "hub"), sets, percent), "near-differences")
+    drop(found, groups)
     signs = [f"s{k}" for k in range(SIGNATURE)]
 
     def side(rows: DataFrame, elements: str, end: str) -> DataFrame:
@@ -240,19 +249,18 @@ def residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     return shared.union(inside).select(F.col("cidx").alias("x"), F.col("cidy").alias("y")).distinct()
 
 
-def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """x, y: links between set digests, enough to connect every component."""
+def class_labels(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """cid, label: the component of each set digest that is linked with another."""
     classes = written(sketch.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs")), "near-classes")
     rows = classes.select("cid", "n", F.explode(F.expr(BAND_KEYS)).alias("key"))
     shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "near-shared")
-    members = written(rows.join(shared, "key"), "near-members")
-    score = members.groupBy("cid").agg(F.sum("k").alias("score"))
-    met = written(classes.join(score, "cid"), "near-met")
-    ranked = members.join(score, "cid")
-    hubs = ranked.groupBy("key").agg(F.max_by("cid", F.struct("score", "cid")).alias("hub"))
-    members = written(members.join(hubs, "key").select("cid", "hub").distinct(), "near-hubs")
+    met = written(rows.join(shared, "key"), "near-members")
+    score = written(met.groupBy("cid").agg(F.sum("k").alias("score")), "near-scores")
+    hubs = met.join(score, "cid").groupBy("key").agg(F.max_by("cid", F.struct("score", "cid")).alias("hub"))
+    members = written(met.join(written(hubs, "near-hubs"), "key").select("cid", "hub").distinct(), "near-stars")
+    drop(shared, met)
     # full sets of the classes that met others, from one document each
-    wanted = met.select("cid", F.col("doc.doc_id").alias("_id"), F.col("doc.th").alias("_th"))
+    wanted = classes.join(score.select("cid"), "cid").select("cid", F.col("doc.doc_id").alias("_id"), F.col("doc.th").alias("_th"))
     texts = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     texts = texts.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("cid", "text")
 
@@ -263,14 +271,22 @@ def class_links(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> D
                 yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), pa.array([values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["cid", "shingles"])
 
     sets = written(texts.mapInArrow(listed, "cid binary, shingles binary").dropDuplicates(["cid"]), "near-sets")
-    x, y = (met.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "xy")
+    x, y = (classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "xy")
     like = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     stars = members.where("cid <> hub").select(F.col("cid").alias("x"), F.col("hub").alias("y")).join(x, "x").join(y, "y").where(like)
-    stars = written(verified(estimated(stars), sets), "near-stars")
     linked = F.expr(f"100 * inter >= {percent} * total")
-    links = stars.where(linked).select("x", "y")
-    rest = written(verified(residual_pairs(members, components(links), sets, percent), sets), "near-rest")
-    return links.union(rest.where(linked).select("x", "y"))
+    labels = components(verified(estimated(stars), sets).where(linked))
+    drop(classes, score)
+    # later links join whole components, so only the components are nodes from here on
+    rest = verified(residual_pairs(members, labels, sets, percent), sets).where(linked)
+    of = lambda k: labels.select(F.col("node").alias(f"n{k}"), F.col("label").alias(f"l{k}"))
+    rest = rest.join(of("x"), F.col("x") == F.col("nx"), "left").join(of("y"), F.col("y") == F.col("ny"), "left")
+    rest = components(rest.select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y")))
+    drop(members, sets)
+    rest = rest.toDF("old", "new")
+    merged = labels.join(rest, F.col("label") == F.col("old"), "left").select(F.col("node").alias("cid"), F.coalesce("new", "label").alias("label"))
+    alone = rest.join(labels, F.col("old") == F.col("node"), "left_anti")
+    return merged.union(alone.select("old", "new"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -278,11 +294,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     text).  ``th`` is xxhash64 of the text, for joining back where ids repeat; ``label`` names
     the component (null for an empty set)."""
     sketch = written(sketches(docs), "near-sketches")
-    labels = components(class_links(docs, sketch, percent))
+    labels = class_labels(docs, sketch, percent)
     least = sketch.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("own"))
-    least = least.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = least.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = written(least, "near-labels")
-    ids = least.groupBy("label").agg(F.min("own").alias("component_id"))
+    # written, so that a component with very many classes can be split in the join back
+    ids = written(least.groupBy("label").agg(F.min("own").alias("component_id")), "near-ids")
     of = least.join(ids, "label").select(F.col("cid").alias("c"), "label", "component_id")
     found = sketch.select("doc_id", "th", "n", "cid").join(of, F.col("cid") == F.col("c"), "left")
     found = found.withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -291,15 +308,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the least id that is
-    not null stays, once; rows with empty sets all stay."""
+    not null stays, once (of rows with equal id and text the one with the least hash of all
+    columns); rows with empty sets all stay."""
     found = written(near_duplicates(docs, percent), "near-found")
     rows = found.groupBy("label", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
     first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "rows")).alias("d"))
     alone = rows.where("label is null").select("doc_id", "th", F.lit(1).alias("rows"))
-    stay = written(first.select("d.doc_id", "d.th", "d.rows").union(alone), "near-stay").toDF("_id", "_th", "_rows")
-    names = docs.columns
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(small(stay), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")))
-    return joined.where("_rows = 1").select(*names).unionAll(joined.where("_rows > 1").dropDuplicates(["_id", "_th"]).select(*names))
+    stay = written(first.select("d.doc_id", "d.th", "d.rows").union(alone), "near-stay").toDF("i", "t", "rows")
+    # the row is one struct meanwhile, so that no column's name can clash
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("key"))
+    joined = whole.join(small(stay), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("t")))
+    once = joined.where("rows > 1").groupBy("i", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return joined.where("rows = 1").select("row").union(once.select("row")).select("row.*")
 
 
 def query(spark, sf_dir) -> DataFrame:
