@@ -23,32 +23,15 @@ are one document.  Empty tables give an empty result.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from slotgram.llm.common import Words, ranges, table, text_chunks, written
-from slotgram.llm.substring_dedup import segments
+from slotgram.llm.common import drop, table, written
+from slotgram.llm.substring_dedup import segment_rows, window_rows
 
 PASSAGE, GRAM = 50, 10
 
 
-def _segments(docs: DataFrame, passage: int, gram: int) -> DataFrame:
-    """h, d (hash of the segment's words), doc_id, th, first, last (window starts)."""
-
-    def found(batches):
-        for batch in batches:
-            for i, j, buf, offsets in text_chunks(batch):
-                words = Words(buf, offsets)
-                h, first, last, text = segments(words, passage, gram)
-                base, part = words.first[text], batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(words.spans(first, last + passage).view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["h", "d", "doc_id", "th", "first", "last"])
-
-    return docs.mapInArrow(found, StructType([StructField("h", LongType()), StructField("d", LongType()), docs.schema["doc_id"], docs.schema["th"]]).add("first", "integer").add("last", "integer"))
-
-
 HOLDERS = ["lo", "hi", "least", "most"]
 
 
@@ -57,49 +40,28 @@ def _holders(lo, hi, least, most) -> list:
     return [F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(least).alias("least"), F.max(most).alias("most")]
 
 
-def _windows(docs: DataFrame, kinds: DataFrame, passage: int) -> DataFrame:
-    """h, w (hash of a window), d, k (its number in the segment), lo, hi, least, most: the
-    windows of the segments of ``kinds``."""
-    names = ["h", "d", *HOLDERS, "first", "last"]
-    lists = kinds.groupBy("i", "t").agg(F.collect_list(F.struct(*names)).alias("segs"))
-    both = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("text", "segs")
-
-    def hashed(batches):
-        for batch in batches:
-            for i, j, buf, offsets in text_chunks(batch):
-                words, segs = Words(buf, offsets), batch.column("segs").slice(i, j - i)
-                flat, text = segs.flatten(), np.repeat(np.arange(j - i), np.asarray(segs.value_lengths()))
-                fields = dict(zip(names, flat.flatten(), strict=True))
-                first, last = (np.asarray(fields[c]).astype(np.int64) + words.first[text] for c in ("first", "last"))
-                ends = np.append(0, np.cumsum(last - first + 1))
-                cuts = np.searchsorted(ends, np.arange(0, ends[-1], 1 << 16))
-                for a, b in zip(cuts, np.append(cuts[1:], len(first)), strict=True):
-                    n = (last - first + 1)[a:b]
-                    k, row = ranges(n), pa.array(np.repeat(np.arange(a, b), n))
-                    start = np.repeat(first[a:b], n) + k
-                    yield pa.RecordBatch.from_arrays([fields["h"].take(row), pa.array(words.spans(start, start + passage).view(np.int64)), fields["d"].take(row), pa.array(k.astype(np.int32)), *(fields[c].take(row) for c in HOLDERS)], ["h", "w", "d", "k", *HOLDERS])
-
-    return both.mapInArrow(hashed, "h long, w long, d long, k int, lo long, hi long, least long, most long")
-
-
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """doc_id, th, start, end (words), other: one row for each joined passage of ``docs``
     (doc_id, text).  ``other`` is the least id of the documents that hold one of its windows;
     where that is the document's own, the greatest; null if there is no other id."""
     docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     docs = docs.select("doc_id", "th", "text")
-    segs = written(_segments(docs, passage, gram), "suffix-segments")
+    segs = written(segment_rows(docs, passage, gram), "suffix-segments")
     own, number = F.xxhash64("doc_id", "th"), F.col("doc_id").cast("long")
     shared = segs.groupBy("h").agg(*_holders(own, own, number, number), (F.min("d") != F.max("d")).alias("mixed")).where("lo <> hi")
-    flagged = written(segs.join(written(shared.select("h", "least", "most", "mixed"), "suffix-shared"), "h"), "suffix-flagged")
+    shared = written(shared.select("h", "least", "most", "mixed"), "suffix-shared")
+    flagged = written(segs.join(shared, "h"), "suffix-flagged")
+    drop(segs, shared)
     whole = flagged.where("not mixed").select("doc_id", "th", F.col("first").alias("start"), F.col("last").alias("end"), "least", "most")
     mixed = flagged.where("mixed").select("h", "d", "doc_id", "th", "first", "last")
     which = F.xxhash64("doc_id", "th", "first")
     kinds = mixed.groupBy("h", "d").agg(*_holders(own, own, number, number), *(F.min_by(c, which).alias(n) for c, n in (("doc_id", "i"), ("th", "t"), ("first", "first"), ("last", "last"))))
-    windows = written(_windows(docs, kinds, passage), "suffix-windows")
+    windows = window_rows(docs, kinds, passage, HOLDERS)
     twice = written(windows.groupBy("h", "w").agg(*_holders("lo", "hi", "least", "most")).where("lo <> hi").select("h", "w", "least", "most"), "suffix-twice")
     hits = windows.select("h", "w", "d", "k").join(twice, ["h", "w"]).groupBy("h", "d").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("least").alias("least"), F.max("most").alias("most"))
-    part = mixed.join(written(hits, "suffix-hits"), ["h", "d"]).select("doc_id", "th", (F.col("first") + F.col("k0")).alias("start"), (F.col("first") + F.col("k1")).alias("end"), "least", "most")
+    hits = written(hits, "suffix-hits")
+    drop(windows, twice)
+    part = mixed.join(hits, ["h", "d"]).select("doc_id", "th", (F.col("first") + F.col("k0")).alias("start"), (F.col("first") + F.col("k1")).alias("end"), "least", "most")
     spans = F.struct(F.col("start").cast("long").alias("start"), (F.col("end") + passage).cast("long").alias("end"), "least", "most")
     lists = whole.union(part).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(spans)).alias("spans"))
     joined = F.expr("""aggregate(spans, cast(array() as array<struct<start: bigint, end: bigint, least: bigint, most: bigint>>), (done, x) ->

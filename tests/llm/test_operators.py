@@ -69,14 +69,31 @@ def test_substring_dedup_small_windows(spark):
     assert key(got) == key(substring_dedup.brute(rows, 6))
 
 
-def test_index_runs_and_compaction(spark):
-    index, batches = substring_dedup.FingerprintIndex(fan_in=2), [[1, 2, 2], [3, 1], [4, 3], [4, 5]]
-    found = [{r[0] for r in index.add(spark.createDataFrame([(x,) for x in b], "h long")).collect()} for b in batches]
-    assert found == [{2}, {1}, {3}, {4}]
-    assert len(index.runs) <= 2
-
-
-def test_repeats_of_earlier_calls(spark):
+def test_index_runs_and_compaction(spark, tmp_path):
+    """Runs are merge-joined in their order, compacted, and open again from their manifest."""
+    path, batches = f"file://{tmp_path}/index", [[1, 2, 2], [3, 1], [4, 3], [4, 5], [1]]
+    found = []
+    for b in batches:
+        index = substring_dedup.FingerprintIndex(spark, path, fan_in=2, buckets=4)
+        found.append({tuple(r) for r in index.add(spark.createDataFrame([(x, x if x != 4 else len(found)) for x in b], "h long, d long")).collect()})
+        assert len(index.runs) <= 2
+        with substring_dedup.scratch.settings(spark, index._plan() | {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            a, *rest = map(index._run, index.runs)
+            if rest:
+                plan = index._sum(a, rest[0], "left")._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        index.close()
+    assert found == [{(2, False)}, {(1, False)}, {(3, False)}, {(4, True)}, {(1, False)}]
+    last = substring_dedup.FingerprintIndex(spark, path)
+    assert sum(r["n"] for name in last.runs for r in last._run(name).collect()) == sum(map(len, batches))
+    last.sizes = [35, 10]
+    with pytest.raises(ValueError, match="grams"):
+        last.check_sizes(50, 10)
+    last.close(delete=True)
+    assert substring_dedup.FingerprintIndex(spark, path).runs == {}
+
+
+def test_repeats_of_earlier_calls(spark, tmp_path):
     """Calls that share an index: each is judged against itself and all earlier ones."""
     rng = random.Random(9)
     old, long = prose(90, rng), prose(200, rng)
@@ -86,8 +103,9 @@ def test_repeats_of_earlier_calls(spark):
         [(7, prose(10, rng) + " " + old), (8, old), (9, prose(50, rng))],
         [(10, " ".join(long.split()[60:100])), (11, prose(50, rng)), (12, None)],
     ]
-    index, seen, removed = substring_dedup.FingerprintIndex(fan_in=2), [], []
-    for rows in calls:
+    seen, removed = [], []
+    for rows in calls:  # each opens the index anew, as a later job would
+        index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", fan_in=2)
         seen += rows
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = substring_dedup.remove_repeats(df, index=index).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
