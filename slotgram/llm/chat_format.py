@@ -1,11 +1,13 @@
 r"""Chat formatting with Spark expressions only.
 
 Turns of a conversation are collected as structs, sorted by (turn, role, text) with nulls
-first, and adjacent turns of one role are merged into a block by an array fold.  A block is
-``### role: part </part> part </turn>`` and a line feed.  Inside parts and roles ``\``, ``</``, ``###`` and (in
+first; adjacent turns of one role are merged into a block: a turn whose predecessor has another
+role begins one, else it is a further part.  A block is ``### role: part </part> part </turn>``
+and a line feed.  Inside parts and roles ``\``, ``</``, ``###`` and (in
 roles) ``:`` get a backslash in front, so neither marker can come from a text; ``read_back``
 undoes it.  The loss mask is an array of code-point ranges of the formatted string, one for
-each assistant turn.
+each assistant turn, from running sums of lengths by array aggregation.  All steps take time
+that is linear in the conversation, and no pattern recurs into itself, whatever its length.
 
 Nulls: null text and null role count as empty strings, a null conv_id is a conversation of
 its own, null turns sort first.  Repeated rows stay repeated turns.  A conversation is one
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from slotgram.llm.common import let, table
 
 END, PART, TRAINED = " </turn>\n", " </part> ", "assistant"
+#: Elements of a slice in which running sums are built, and characters of a piece of a text.
+SLICE, CUT = 128, 512
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -31,42 +35,66 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array, by array aggregation in slices: an aggregate that appends copies
+    what it has, so one over the whole array would be quadratic."""
+
+    def in_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda done, y: done + y))
+        starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda done, y: F.concat(done, F.array(F.element_at(done, -1) + y)))
+        inside = lambda x, start: F.slice(F.aggregate(x, F.array(start), lambda done, y: F.concat(done, F.array(F.element_at(done, -1) + y))), 2, SLICE)
+        return let(starts, lambda s: F.flatten(F.transform(blocks, lambda x, i: inside(x, F.get(s, i)))))
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SLICE).cast("int")), lambda i: F.slice(v, i * SLICE + 1, F.lit(SLICE)))
+    return let(values, lambda v: let(blocks(v), in_blocks))
+
+
 def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
     """conv_id, formatted, loss_mask array<struct<start, end>>; from conv_id, turn, role, text."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    blocks = F.expr("""aggregate(turns, cast(array() as array<struct<role: string, parts: array<string>>>), (done, t) ->
-        if(size(done) > 0 and element_at(done, -1).role = t.role,
-           concat(slice(done, 1, size(done) - 1), array(named_struct('role', t.role, 'parts', concat(element_at(done, -1).parts, array(t.text))))),
-           concat(done, array(named_struct('role', t.role, 'parts', array(t.text))))))""")
-    chats = chats.select("conv_id", F.transform(blocks, lambda b: F.struct(
-        (b["role"] == F.lit(trained)).alias("trained"),
-        F.concat(F.lit("### "), escaped(b["role"], True), F.lit(": ")).alias("head"),
-        F.transform(b["parts"], lambda p: escaped(p)).alias("parts"),
-    )).alias("blocks"))
-    # each part with its length and the length of what stands before it, in reading order
-    pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["parts"], lambda p, i: F.struct(
-        b["trained"].alias("trained"),
-        F.when(i == 0, F.length(b["head"]) + F.lit(len(END))).otherwise(F.lit(len(PART))).alias("gap"),
-        F.length(p).alias("n"),
-    ))))
-    chats = chats.withColumn("pieces", pieces)
-    ends = F.expr(f"""aggregate(pieces, named_struct('at', -{len(END)}, 'mask', cast(array() as array<struct<start: int, end: int>>)), (s, p) -> named_struct(
-        'at', s.at + p.gap + p.n,
-        'mask', if(p.trained, concat(s.mask, array(named_struct('start', s.at + p.gap, 'end', s.at + p.gap + p.n))), s.mask))).mask""")
-    text = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["parts"], PART), F.lit(END))), "")
-    return chats.select("conv_id", text.alias("formatted"), ends.alias("loss_mask"))
+
+    def piece(turns: Column, t: Column, i: Column) -> Column:
+        head = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit("### "), escaped(t["role"], True), F.lit(": "))
+        merged = (i > 0) & (F.get(turns, i - 1)["role"] == t["role"])
+        return F.struct((t["role"] == F.lit(trained)).alias("trained"), F.when(merged, F.lit(PART)).otherwise(head).alias("lead"), escaped(t["text"]).alias("body"))
+
+    chats = chats.select("conv_id", let(F.col("turns"), lambda x: F.transform(x, lambda t, i: piece(x, t, i))).alias("pieces"))
+    text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END))
+    ends = prefix_sums(F.transform("pieces", lambda p: (F.length(p["lead"]) + F.length(p["body"])).cast("long")))
+    span = lambda p, end: F.when(p["trained"], F.struct((end - F.length(p["body"])).alias("start"), end.alias("end")))
+    mask = let(ends, lambda e: F.filter(F.transform("pieces", lambda p, i: span(p, F.get(e, i))), lambda x: x.isNotNull()))
+    return chats.select("conv_id", text.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>>: the turns that a formatted conversation holds."""
     blocks = F.filter(F.split(formatted, END), lambda x: x != "")
-    head = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
-    return F.flatten(F.transform(blocks, lambda b: F.transform(F.split(F.regexp_extract(b, head, 2), PART), lambda p: F.struct(unescaped(F.regexp_extract(b, head, 1)).alias("role"), unescaped(p).alias("text")))))
+
+    def turns(block: Column) -> Column:
+        # with escape pairs masked, the first colon ends the role
+        colon = F.instr(F.regexp_replace(block, r"(?s)\\.", "__"), ":")
+        parts = lambda at: F.transform(F.split(F.substring(block, at + 2, F.length(block)), PART), lambda p: F.struct(unescaped(F.substring(block, F.lit(5), at - 5)).alias("role"), unescaped(p).alias("text")))
+        return let(colon, parts)
+
+    return F.flatten(F.transform(blocks, turns))
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """The texts under ``spans``.  The text is cut into short pieces once, since each substring of
+    the whole would be searched for from its start."""
+
+    def one(pieces: Column, m: Column) -> Column:
+        a, z = F.floor(m["start"] / CUT).cast("int"), F.floor((m["end"] - 1) / CUT).cast("int")
+        first, size = (m["start"] - a * CUT + 1).cast("int"), (m["end"] - m["start"]).cast("int")
+        over = F.concat(F.substring(F.get(pieces, a), first, F.lit(CUT)), F.array_join(F.slice(pieces, a + 2, z - a - 1), ""), F.substring(F.get(pieces, z), F.lit(1), (m["end"] - z * CUT).cast("int")))
+        return F.when(size <= 0, F.lit("")).when(a == z, F.substring(F.get(pieces, a), first, size)).otherwise(over)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), lambda pieces: F.transform(spans, lambda m: one(pieces, m)))
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    return let(formatted, lambda f: F.array_join(F.transform(mask, lambda m: unescaped(F.substring(f, m["start"] + 1, m["end"] - m["start"]))), ""))
+    return F.array_join(F.transform(cut_out(formatted, mask), unescaped), "")
 
 
 def query(spark, sf_dir) -> DataFrame:

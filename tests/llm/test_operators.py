@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -371,6 +372,28 @@ def test_chats(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chats_long(spark):
+    """Many turns, and a very long role and text: linear, and without deep recursion."""
+    def run(turns):
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+        t = time.time()
+        r = chat_format.format_chats(df).select("loss_mask", F.length("formatted").alias("n"), chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()
+        return r[0], time.time() - t
+
+    run([(1, 0, "user", "x")])
+    seconds = []
+    for n in (2000, 16000):
+        turns = [(1, i, ("user", "assistant")[i % 7 == 0], f"text \U0001f600 {i} </turn> " * (i % 5)) for i in range(n)]
+        row, s = run(turns)
+        assert [tuple(t) for t in row["turns"]] == [t[2:] for t in turns]
+        assert row["loss"] == "".join(t[3] for t in turns if t[2] == "assistant")
+        seconds.append(s)
+    assert seconds[1] < 30 * max(seconds[0], 0.5)  # 8 times the turns; quadratic would be 64
+    odd = ("\\:" * 300_000) + "r" * 400_000
+    row, _ = run([(1, 0, odd, "x"), (1, 1, "assistant", "\\" * 300_000 + ":" * 9)])
+    assert [tuple(t) for t in row["turns"]] == [(odd, "x"), ("assistant", "\\" * 300_000 + ":" * 9)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
