@@ -6,9 +6,10 @@ window always shares such a fingerprint at the same offset.  Fingerprints are jo
 hit is extended by the offset to the whole window, and the words are compared.  Items with
 fewer words are one window of their own length, and are found by grams of that length.
 
-The item side is broadcast only if a count proves that it is small; beyond that the joins
-shuffle.  Hits are slim rows; documents' texts are neither exploded nor shuffled unless the
-documents with hits are too many to broadcast.
+The item side and the hits are broadcast only if their rows and bytes are counted and few;
+beyond that the joins shuffle.  Texts are not exploded; they are shuffled only where the
+documents with hits are too many to broadcast.  Fingerprints are joined by 64-bit hashes, so what
+is fetched to compare words really shares a gram, but for one in 2**64.
 
 Nulls: null text has no words, is never hit and gives no window; a null item id is an empty
 string in the digest.  Documents are told apart by id and text, so repeated rows get equal
@@ -20,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotgram.llm.common import let, small, table, written
+from slotgram.llm.common import drop, let, small, table, written
 from slotgram.llm.url_filters import LOWER, UPPER
 
 WINDOW, GRAM, PLACE_BITS = 10, 5, 31
+ADDED = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What lies between words, before A-Z is lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,15 +43,10 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def gram_hashes(hashes: Column, k: int, placed: bool = False) -> Column:
-    """Hash of the k words from each word on; none if there are fewer.  ``placed`` puts the
-    0-based word position in the low bits."""
+def gram_hashes(hashes: Column, k: int) -> Column:
+    """Hash of the k words from each word on; none if there are fewer."""
     gram = lambda h, x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
-    if placed:
-        made = lambda h: lambda x, i: gram(h, x, i).bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long"))
-    else:
-        made = lambda h: lambda x, i: gram(h, x, i)
-    return let(hashes, lambda h: F.slice(F.transform(h, made(h)), F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))))
+    return let(hashes, lambda h: F.slice(F.transform(h, lambda x, i: gram(h, x, i)), F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))))
 
 
 def sliding_least(values: Column, span: int) -> Column:
@@ -58,21 +55,19 @@ def sliding_least(values: Column, span: int) -> Column:
 
 
 def fingerprints(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """Leftmost least gram of each window of the words with these hashes, without repeats; none
-    if there are fewer words.  Each is one long (see ``hash_of`` and ``place_of``): 33 bits of the hash, then
-    31 bits of the 0-based word position.  Arrays of longs keep the array functions linear,
-    and the words are compared in the end, so the shorter hash costs only a few more hits."""
+    """array<struct<h, at>>: leftmost least gram of each window of the words with these hashes,
+    without repeats; none if there are fewer words.  The least is taken of longs that hold 33 bits
+    of the hash and then 31 bits of the 0-based word position, so the array functions stay linear;
+    ``h`` is the gram's whole 64-bit hash."""
     span = window - gram + 1
-    least = lambda g: F.slice(sliding_least(g, span), F.lit(1), F.size(g) - (span - 1))
-    return let(hashes, lambda w: F.when(F.size(w) >= window, F.array_distinct(let(gram_hashes(w, gram, True), least))))
+    placed = lambda g: F.transform(g, lambda x, i: x.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long")))
+    least = lambda p: F.array_distinct(F.slice(sliding_least(p, span), F.lit(1), F.size(p) - (span - 1)))
+    whole = lambda g: F.transform(let(placed(g), least), lambda p: let(place_of(p), lambda at: F.struct(F.get(g, at).alias("h"), at.alias("at"))))
+    return let(hashes, lambda w: F.when(F.size(w) >= window, let(gram_hashes(w, gram), whole)))
 
 
-def hash_of(fingerprint: Column) -> Column:
-    return F.shiftright(fingerprint, PLACE_BITS)
-
-
-def place_of(fingerprint: Column) -> Column:
-    return fingerprint.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+def place_of(placed: Column) -> Column:
+    return placed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -95,8 +90,8 @@ def find_hits(texts: DataFrame, windows: DataFrame, lengths: list[int], window:
     distinct = windows.select("n", "w").distinct()
     hashed = lambda: word_hashes(F.split("w", " "))
     long = distinct.where(F.col("n") == window).select("n", "w", F.element_at(fingerprints(hashed(), window, gram), 1).alias("p"))
-    long = long.select(hash_of(F.col("p")).alias("wh"), place_of(F.col("p")).alias("shift"), "n", "w")
-    prints = texts.select("_id", "_th", F.explode("prints").alias("p")).select("_id", "_th", hash_of(F.col("p")).alias("h"), place_of(F.col("p")).alias("at"))
+    long = long.select(F.col("p.h").alias("wh"), F.col("p.at").alias("shift"), "n", "w")
+    prints = texts.select("_id", "_th", F.inline("prints"))
     hits = prints.join(small(long), F.col("h") == F.col("wh")).where("at >= shift").select("_id", "_th", (F.col("at") - F.col("shift")).alias("at"), "n", "w")
     for n in lengths:
         short = distinct.where(F.col("n") == n).select(F.element_at(gram_hashes(hashed(), n), 1).alias("wh"), "n", "w")
@@ -120,7 +115,9 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     per_doc = found.select("_id", "_th", F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("_w"))
     per_doc = per_doc.join(small(windows.select("item", "w")), F.col("_w") == F.col("w")).groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = found.join(per_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", touched.cast("long").alias("n_hit"), spans.alias("spans"), "items")
-    return texts, written(found, "decontaminate-result")
+    result = written(found, "decontaminate-result")
+    drop(windows, hits)
+    return texts, result
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -135,10 +132,18 @@ def _judged(rows: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (sorted ids), spans (confirmed windows as
     word ranges) and contaminated."""
-    _, found = find_windows(docs, items, window, gram)
-    docs = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated").withColumn("_key", F.xxhash64("text"))
-    joined = docs.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left").drop("_key")
-    return _judged(joined.withColumn("n_words", F.size(words_of(F.col("text"), False)).cast("long")))
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = judged_rows(docs, items, window, gram)
+    return rows.select(*(F.col("row")[c].alias(c) for c in names), *ADDED)
+
+
+def judged_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``, so that no name can clash) with the added columns."""
+    texts, found = find_windows(docs, items, window, gram)
+    drop(texts)
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("key"), F.size(words_of(docs["text"], False)).cast("long").alias("n_words"))
+    joined = whole.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_th")), "left")
+    return _judged(joined).select("row", *ADDED)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -152,3 +157,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 def query(spark, sf_dir) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT *, least(len(ws), {WINDOW}) AS n, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 2))) AS i FROM b WHERE len(ws) > 0)),
+h AS (SELECT doc_id, i, x.n, item FROM (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w))) x JOIN w USING (n, w)),
+t AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
