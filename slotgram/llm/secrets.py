@@ -3,7 +3,8 @@
 Base patterns give spans of kinds assign, access and hex.  Further candidates (PEM armour,
 long base64 or hex runs, dotted tokens) are decoded, and reported only if their inner
 structure holds: DER lengths that nest exactly, SSH length-prefixed fields, a signed token's
-JSON header with an algorithm.  Successive lines are also decoded as one, from the start of
+JSON header with an algorithm; of a PEM key under a passphrase the headers, and a body of whole
+cipher blocks.  Successive lines are also decoded as one, from the start of
 each line and after each separator (``/ + _ -``), and hex with or without ``0x``; a key found so
 ends where its lengths say.  Spans count code points, end exclusive.
 
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: A key that a passphrase protects: its headers name the cipher and its first block.
+SEALED = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:\s|\\[rn])*Proc-Type: 4,ENCRYPTED(?:\s|\\[rn])+DEK-Info: [A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})(?:\s|\\[rn])+([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 BREAK = re.compile(r"(?:\\r)?\\n|[ \t]*\r?\n[ \t]*")
@@ -79,18 +82,24 @@ def is_der(data: bytes) -> bool:
     return data[at] in (0x02, 0x30, 0x06) and at < first < len(data)
 
 
+def ssh_fields(data: bytes, at: int, most: int) -> tuple[list[bytes], int]:
+    """Up to ``most`` whole length-prefixed fields from ``at`` on, and where they end."""
+    found = []
+    while len(found) < most and at + 4 <= len(data) and at + 4 + (n := int.from_bytes(data[at : at + 4], "big")) <= len(data):
+        found.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return found, at
+
+
 def is_ssh(data: bytes) -> bool:
-    """An OpenSSH private key, or a public blob whose length-prefixed fields fill ``data``."""
+    """An OpenSSH private key (names, number of keys, public blobs and private block), or a public
+    blob, whose length-prefixed fields fill ``data``."""
     if data.startswith(b"openssh-key-v1\0"):
-        at, names = 15, 0
-        while names < 3 and at + 4 <= len(data):
-            at, names = at + 4 + int.from_bytes(data[at : at + 4], "big"), names + 1
-        return names == 3 and at < len(data)
-    at, fields = 0, []
-    while at + 4 <= len(data) and len(fields) < 32:
-        n = int.from_bytes(data[at : at + 4], "big")
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
+        head, at = ssh_fields(data, 15, 3)  # cipher, key derivation and its options
+        keys = int.from_bytes(data[at : at + 4], "big") if len(head) == 3 else 0
+        rest, at = ssh_fields(data, at + 4, keys + 1) if 0 < keys <= 16 else ([], 0)
+        return len(rest) == keys + 1 > 1 and at == len(data) and bool(rest[-1]) and all(is_ssh(x) for x in rest[:-1])
+    fields, at = ssh_fields(data, 0, 32)
     return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
 
 
@@ -173,6 +182,10 @@ def structural(text: str) -> list[tuple[int, int, str]]:
             body = unbase64(re.sub(r"\s|\\[nr]", "", m[2]))
             if body and (is_der(body) or is_ssh(body)):
                 found.append((m.start(), m.end(), "pem"))
+        for m in SEALED.finditer(text):
+            body = unbase64(re.sub(r"\s|\\[nr]", "", m[3]))
+            if body and len(body) % (len(m[2]) // 2) == 0:
+                found.append((m.start(), m.end(), "pem"))
     taken = list(found)
     if "ey" in text:
         for m in DOTTED.finditer(text):
