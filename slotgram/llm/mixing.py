@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slotgram.llm.common import WORD, small, written
+from slotgram.llm.common import WORD, drop, small, written
 
+ADDED = ["size", "source_size", "target", "taken"]
 SHARE, CAP, WEIGHTS, SEED, HEX_DIGITS = 1.5, 2, (5.0, 2.0, 1.0), "mix-1", 3
 
 
@@ -59,12 +60,13 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def source_cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per source: source_size, target, epochs, cut_key, cut_share (words that each
     row with the cut key gives)."""
-    slim = written(docs.select("source", mixing_key(seed).alias("key"), word_count(F.col("text")).alias("size")), "mixing-sizes")
-    slim = slim.withColumn("bucket", F.substring("key", 1, HEX_DIGITS))
+    sizes = written(docs.select("source", mixing_key(seed).alias("key"), word_count(F.col("text")).alias("size")), "mixing-sizes")
+    slim = sizes.withColumn("bucket", F.substring("key", 1, HEX_DIGITS))
     buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("words", F.floor("target")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long")))
-    goal = written(goal.withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size")), "mixing-targets")
+    goal = goal.withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
+    goal = written(goal, "mixing-targets")
     each = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ended = buckets.withColumn("before", F.coalesce(F.sum("size").over(each), F.lit(0)))
     ended = ended.join(small(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).where("before <= rest and rest < before + size").select("s", F.col("bucket").alias("b"), "before", "rest")
@@ -73,27 +75,33 @@ def source_cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     inside = Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     keys = keys.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cut = keys.where("before <= rest and rest < before + size").select("s", F.col("key").alias("cut_key"), F.expr("(rest - before) div rows").alias("cut_share"))
-    return goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_share")
+    cuts = written(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_share"), "mixing-cuts")
+    drop(sizes, goal)
+    return cuts
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target and taken (words of
     the row that the mix takes, repeats counted).  The same rows give the same mix."""
-    cuts = written(source_cuts(docs, weights, share, cap, seed), "mixing-cuts").withColumnRenamed("source", "_source")
-    docs = docs.drop("size", "source_size", "target", "taken")
-    found = docs.withColumn("_key", mixing_key(seed)).withColumn("size", word_count(F.col("text"))).join(small(cuts), F.col("source").eqNullSafe(F.col("_source")))
-    rest = F.when(F.col("_key") < F.col("cut_key"), F.col("size")).when(F.col("_key") == F.col("cut_key"), F.col("cut_share")).otherwise(F.lit(0))
-    return found.withColumn("taken", (F.col("epochs") * F.col("size") + rest).cast("long")).drop("_key", "_source", "epochs", "cut_key", "cut_share")
+    cuts = source_cuts(docs, weights, share, cap, seed).withColumnRenamed("source", "_source")
+    names = [c for c in docs.columns if c not in ADDED]
+    # the row is one struct meanwhile, so that no column's name can clash
+    found = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["source"].alias("source"), mixing_key(seed).alias("key"), word_count(F.col("text")).alias("size"))
+    found = found.join(small(cuts), F.col("source").eqNullSafe(F.col("_source")))
+    rest = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_share")).otherwise(F.lit(0))
+    taken = (F.col("epochs") * F.col("size") + rest).cast("long")
+    return found.select(*(F.col("row")[c].alias(c) for c in names), "size", "source_size", "target", taken.alias("taken"))
 
 
 def repeat_texts(mixed: DataFrame) -> DataFrame:
     """One row for each time that a row of the mix is read: ``taken`` is then the words of this
     reading, and the text of a partial reading is cut to its first ``taken`` words (joined by
     one space).  Rows of which nothing is taken go."""
-    rows = mixed.where("taken > 0").withColumn("_epoch", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
-    rows = rows.withColumn("taken", F.least("size", F.col("taken") - F.col("_epoch") * F.col("size"))).drop("_epoch")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("taken") < F.col("size"), first).otherwise(F.col("text")))
+    whole = mixed.where("taken > 0").select(F.struct(*(mixed[c] for c in mixed.columns)).alias("row"), F.explode(F.expr("sequence(0L, (taken - 1) div size)")).alias("epoch"))
+    size, taken = F.col("row.size"), F.least("row.size", F.col("row.taken") - F.col("epoch") * F.col("row.size"))
+    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), taken.cast("int")), " ")
+    new = {"taken": taken, "text": F.when(taken < size, first).otherwise(F.col("row.text"))}
+    return whole.select(*(new.get(c, F.col("row")[c]).alias(c) for c in mixed.columns))
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, ShortType, StructField, StructType
 
 from slotgram.llm.common import Words, drop, mix, small, table, text_chunks, written
+from slotgram.llm.url_filters import LOWER, UPPER
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
@@ -324,3 +325,13 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def query(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th", "label")
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) AS s FROM (SELECT *, unnest(range(1, greatest(len(ws) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, d.doc_id = min(y) AS kept FROM d LEFT JOIN n USING (doc_id) JOIN r ON x = d.doc_id GROUP BY d.doc_id
+"""

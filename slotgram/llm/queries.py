@@ -22,6 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat_format.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
+    "op3_quality_rules": quality.SQL,
     "op4_url_filters": url_filters.SQL,
     "op5_source_mixing": mixing.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
+    "op9_decontamination": decontaminate.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }

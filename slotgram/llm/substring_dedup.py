@@ -316,6 +316,17 @@ def query(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS pos FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) > 1)),
+words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS pos FROM d)
+SELECT d.doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(g.pos) AS n_removed,
+  sha256(coalesce(string_agg(x, ' ' ORDER BY words.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = words.doc_id AND g.pos = words.pos GROUP BY d.doc_id
+"""
+
+
 def brute(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int | None, int, int, str]]:
     """The result by definition, for tests."""
     split = [(t or "").encode().split() for _, t in rows]

@@ -75,3 +75,14 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
 def query(spark, sf_dir) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_doc_id"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + {PASSAGE}], ' ') AS w FROM (SELECT *, unnest(range(0, len(ws) - {PASSAGE - 1})) AS i FROM d)),
+r AS (SELECT doc_id, i, least, most FROM w JOIN (SELECT w, min(doc_id) AS least, max(doc_id) AS most FROM w GROUP BY w HAVING min(doc_id) <> max(doc_id)) USING (w)),
+o AS (SELECT *, sum(CAST(coalesce(i > before + {PASSAGE}, true) AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r))
+SELECT doc_id, min(i) AS start_word, max(i) + {PASSAGE} AS end_word, max(i) + {PASSAGE} - min(i) AS n_words,
+  CASE WHEN min(least) <> doc_id THEN min(least) ELSE max(most) END AS other_doc_id
+FROM o GROUP BY doc_id, k
+"""
