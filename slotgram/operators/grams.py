@@ -1,18 +1,20 @@
 """Counting overlapping character grams.
 
-Tasks count in memory and send partial counts; when a task holds ``FLUSH`` distinct grams it
-sends them and starts anew, so memory is bounded and the result stays exact.
+Tasks look at blocks of texts as arrays of code points and send each distinct gram of a block
+once, so memory is bounded and the result is exact; sums follow after one shuffle.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLUSH = 500_000
+#: Characters of a block, and bits of a code point.
+BLOCK, BITS = 2 << 20, 21
 
 
 def _lengths(lo: int, hi: int) -> None:
@@ -29,42 +31,75 @@ def explode_grams(docs: DataFrame, keys: list[str], lo: int, hi: int) -> DataFra
     return grams.select(*keys, "n", "pos", F.array_join(F.slice("c", F.col("pos"), F.col("n")), "").alias("gram"))
 
 
-def count_grams(docs: DataFrame, lo: int, hi: int, keys: list[str] | None = None, prefixes: set[str] | None = None) -> DataFrame:
-    """keys, gram, cnt.  With ``prefixes`` (for lo = hi) only grams are counted whose first
-    lo - 1 characters are among them."""
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and how many follow each in its text, itself included."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    return points, np.repeat(ends, sizes) - np.arange(len(points))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches and their texts (null: empty), of at most ``limit`` characters or one text."""
+    for batch in batches:
+        texts, i = [t or "" for t in batch.column(column).to_pylist()], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= limit):
+                size, j = size + len(texts[j]), j + 1
+            yield batch.slice(i, j - i), texts[i:j]
+            i = j
+
+
+def distinct_grams(texts: list[str], group: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, first positions and counts of the distinct grams of each length, told apart by the
+    ``group`` of their text.  A gram is numbered by its prefix's number and its last character."""
+    points, rest = code_points(texts)
+    if not len(points):
+        return
+    letters, c = np.unique(points, return_inverse=True)
+    a = len(letters)
+    g = np.repeat(group, [len(t) for t in texts])
+    at = np.flatnonzero(rest >= 1)
+    n, number = 1, g * a + c
+    while n < lo and (int(group.max()) + 1) * a ** (n + 1) < 2**62:  # short grams are numbers as they are
+        more = rest[at] > n
+        at, number = at[more], number[more]
+        number = number * a + c[at + n]
+        n += 1
+    if not len(at):
+        return
+    while True:
+        _, first, number, count = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+        if n >= lo:
+            yield n, at[first], count
+        if n == hi:
+            return
+        more = rest[at] > n
+        at, number = at[more], number[more]
+        if not len(at):
+            return
+        number = number * a + c[at + n]
+        n += 1
+
+
+def count_grams(docs: DataFrame, lo: int, hi: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, gram, cnt."""
     _lengths(lo, hi)
     keys = keys or []
-    known = docs.sparkSession.sparkContext.broadcast(prefixes) if prefixes is not None else None
     source = docs.where("text is not null").select(*keys, "text")
 
     def run(batches):
-        allowed = known.value if known else None
-        counts: dict[tuple, Counter] = {}
-        held = 0
-
-        def out():
-            rows = [(*k, g, n) for k, c in counts.items() for g, n in c.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * (len(keys) + 2)
-            types = [f.type for f in kinds]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keys, "gram", "cnt"])
-
-        kinds = None
-        for batch in batches:
-            kinds = [*(batch.schema.field(k) for k in keys), pa.field("gram", pa.string()), pa.field("cnt", pa.int64())]
-            for *key, text in zip(*(batch.column(c).to_pylist() for c in (*keys, "text")), strict=True):
-                c = counts.setdefault(tuple(key), Counter())
-                before = len(c)
-                for n in range(lo, min(hi, len(text)) + 1):
-                    if allowed is None:
-                        c.update([text[i : i + n] for i in range(len(text) - n + 1)])
-                    else:
-                        c.update([text[i : i + n] for i in range(len(text) - n + 1) if text[i : i + n - 1] in allowed])
-                held += len(c) - before
-                if held > FLUSH:
-                    yield out()
-                    counts, held = {}, 0
-        if counts:
-            yield out()
+        for part, texts in blocks(batches):
+            values = list(zip(*(part.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(texts)
+            numbers = {v: i for i, v in enumerate(dict.fromkeys(values))}
+            group = np.array([numbers[v] for v in values], np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            whole = "".join(texts)
+            for n, first, count in distinct_grams(texts, group, lo, hi):
+                of = pa.array(row[first])
+                grams = pa.array([whole[i : i + n] for i in first.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in keys), grams, pa.array(count.astype(np.int64))], [*keys, "gram", "cnt"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "gram string, cnt long"])
     return source.mapInArrow(run, schema).groupBy(*keys, "gram").agg(F.sum("cnt").alias("cnt"))
@@ -75,22 +110,52 @@ def ranked(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), F.length("gram"), "gram").limit(k)
 
 
+def _next_level(docs: DataFrame, lo: int, tables: list[np.ndarray]) -> DataFrame:
+    """key, cnt of the grams of lo + len(tables) characters whose prefixes are in all ``tables``:
+    sorted keys of the kept grams of lo, lo + 1, ... characters.  A key is the lo code points, or
+    the prefix's place in its table and the last code point; keys are in the order of the texts."""
+    known = docs.sparkSession.sparkContext.broadcast(tables)  # fewer than k numbers for each length
+
+    def run(batches):
+        for _, texts in blocks(batches):
+            points, rest = code_points(texts)
+            at = np.flatnonzero(rest >= lo)
+            key = np.zeros(len(at), np.int64)
+            for i in range(lo):
+                key = key << BITS | points[at + i]
+            for n, table in enumerate(known.value, lo):
+                place = np.minimum(np.searchsorted(table, key), len(table) - 1)
+                ok = (table[place] == key) & (rest[at] > n)
+                at, key = at[ok], place[ok] << BITS | points[at[ok] + n]
+            found, count = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], ["key", "cnt"])
+
+    return docs.where("text is not null").select("text").mapInArrow(run, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+
+
 def levelwise(docs: DataFrame, lo: int, hi: int, k: int, min_freq: int) -> DataFrame:
-    """The same rows as ``ranked(count_grams(...), k)``, without counting every long gram: a
-    gram is at most as frequent as its prefix, so level n + 1 looks only at prefixes that
-    reach the k-th best count so far (ties stay).  What is collected for a level is bounded by
-    the grams that reach that count; beyond ``FLUSH`` of them the full count is used."""
+    """The same rows as ``ranked(count_grams(...), k)``, without counting every long gram: a gram is
+    at most as frequent as its prefix, and where counts tie the shorter one ranks first.  So once k
+    grams are found, a longer one needs a prefix that is more frequent than the k-th of them, and
+    fewer than k are.  The driver gets at most k rows for each length; the texts are read once for
+    each length.  Grams of more than three characters at least are counted in full."""
     _lengths(lo, hi)
-    spark, best, threshold, prefixes = docs.sparkSession, [], min_freq, None
+    spark = docs.sparkSession
+    if lo * BITS > 63:
+        return ranked(count_grams(docs, lo, hi).where(F.col("cnt") >= min_freq), k)
+    best: list[tuple[str, int]] = []
+    tables: list[np.ndarray] = []
+    prefixes: list[str] = []
     for n in range(lo, hi + 1):
-        level = count_grams(docs, n, n, prefixes=prefixes).where(F.col("cnt") >= threshold)
-        rows = level.limit(FLUSH + 1).collect()
-        if len(rows) > FLUSH:
-            return ranked(count_grams(docs, lo, hi).where(F.col("cnt") >= min_freq), k)
-        best = sorted([*best, *map(tuple, rows)], key=lambda r: (-r[1], len(r[0]), r[0].encode()))[:k]
-        if len(best) == k:
-            threshold = max(min_freq, best[-1][1])
-        prefixes = {g for g, c in rows if c >= threshold}
-        if not prefixes:
+        least = max(min_freq, best[-1][1] + 1) if best and len(best) == k else min_freq
+        level = _next_level(docs, lo, tables).where(F.col("cnt") >= least).orderBy(F.desc("cnt"), "key").limit(k).collect()
+        text = (lambda x: prefixes[x >> BITS] + chr(x & (1 << BITS) - 1)) if tables else (lambda x: "".join(chr(x >> BITS * i & (1 << BITS) - 1) for i in range(lo - 1, -1, -1)))
+        rows = [(r["key"], text(r["key"]), r["cnt"]) for r in level]
+        best = sorted([*best, *((g, c) for _, g, c in rows)], key=lambda r: (-r[1], len(r[0]), r[0]))[:k]
+        least = max(min_freq, best[-1][1] + 1) if best and len(best) == k else min_freq
+        kept = sorted(r for r in rows if r[2] >= least)
+        if not kept:
             break
+        tables.append(np.array([x for x, _, _ in kept], np.int64))
+        prefixes = [g for _, g, _ in kept]
     return spark.createDataFrame(best, "gram string, cnt long")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from slotgram.functions.slots import SLOTS, quotas, slot_space
 from slotgram.operators.corpus import assign_groups
-from slotgram.operators.grams import count_grams, ranked
+from slotgram.operators.grams import count_grams, levelwise, ranked
 
 SCHEMA = "token string, slot int, cnt long"
 
@@ -21,8 +21,8 @@ def with_slots(top: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, lo: int = 3, hi: int = 16, min_freq: int = 5, k: int = SLOTS) -> DataFrame:
-    """The exact vocabulary of the whole corpus."""
-    return with_slots(ranked(count_grams(docs, lo, hi).where(F.col("cnt") >= min_freq), min(k, SLOTS)))
+    """The exact vocabulary of the whole corpus, learned length by length."""
+    return with_slots(levelwise(docs, lo, hi, min(k, SLOTS), min_freq))
 
 
 def train_partitioned(docs: DataFrame, parts: int, lo: int = 3, hi: int = 3, min_freq: int = 5, slots: int = SLOTS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotgram.functions import codec, meta, slots, text, xz
-from slotgram.operators import corpus, grams, inspect, vocab
+from slotgram.operators import corpus, grams, inspect, positions, vocab
 from slotgram.sources import files, layouts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,8 +75,8 @@ def small_vocab(docs: DataFrame) -> DataFrame:
 
 
 def full_vocab(docs: DataFrame) -> DataFrame:
-    """The vocabulary that ``vocab.train`` learns by default, counted level by level."""
-    return vocab.with_slots(grams.levelwise(docs, 3, FULL_HI, slots.SLOTS, MIN_FREQ))
+    """The vocabulary that ``vocab.train`` learns by default."""
+    return vocab.train(docs, 3, FULL_HI, MIN_FREQ)
 
 
 # --- slots -------------------------------------------------------------------
@@ -208,9 +208,9 @@ def gram_levelwise_topk(spark, sf_dir):
 # --- vocabularies ------------------------------------------------------------
 
 
-@query(vocab_sql(3, 5, slots.SLOTS))
+@query(vocab_sql(3, FULL_HI, slots.SLOTS))
 def vocab_global(spark, sf_dir):
-    return vocab.train(documents(spark, sf_dir), 3, 5, MIN_FREQ)
+    return vocab.train(documents(spark, sf_dir), 3, FULL_HI, MIN_FREQ)
 
 
 @query()
@@ -270,23 +270,15 @@ def decode_malformed(spark, sf_dir):
     return codec.decode(rows, known, ["hex"]).select(F.col("hex").alias("encoded"), F.hex(F.encode("text", "UTF-8")).alias("decoded"))
 
 
-def position_matches(docs: DataFrame, learned: DataFrame, hi: int = 6) -> DataFrame:
-    """doc_id, pos, slot, token_bytes: the longest token at each place, by join and max."""
-    found = grams.explode_grams(docs, ["doc_id"], 3, hi).join(F.broadcast(learned), F.col("gram") == F.col("token"))
-    return found.groupBy("doc_id", "pos").agg(F.max_by("slot", F.octet_length("gram")).alias("slot"), F.max(F.octet_length("gram")).alias("token_bytes"))
-
-
 @query(f"WITH v AS MATERIALIZED ({vocab_sql(3, 6, SMALL_K)}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, arg_max(slot, strlen(gram)) AS slot, CAST(max(strlen(gram)) AS INTEGER) AS token_bytes FROM ({grams_sql(3, 6)}) JOIN v ON gram = token GROUP BY doc_id, pos")
-def match_longest_per_pos(spark, sf_dir, learn=small_vocab, hi=6):
+def match_longest_per_pos(spark, sf_dir, learn=small_vocab):
     docs = documents(spark, sf_dir)
-    return position_matches(docs, learn(docs), hi)
+    return positions.longest_matches(docs, learn(docs))
 
 
 @query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(strlen(gram)) OVER (PARTITION BY doc_id ORDER BY pos) - strlen(gram) AS BIGINT) AS byte_offset FROM ({grams_sql(1, 1)})")
 def byte_offsets(spark, sf_dir):
-    each = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    chars = grams.explode_grams(documents(spark, sf_dir), ["doc_id"], 1, 1)
-    return chars.select("doc_id", "pos", F.coalesce(F.sum(F.octet_length("gram")).over(each), F.lit(0)).cast("long").alias("byte_offset"))
+    return positions.byte_offsets(documents(spark, sf_dir))
 
 
 @query(f"{pieces_sql()} SELECT token, slot, count(piece) AS uses FROM v LEFT JOIN e ON piece = token GROUP BY token, slot")
@@ -387,5 +379,5 @@ def path_safety(spark, sf_dir):
 #: 3,570 slots and tokens of 3 to 16 characters; without SQL, whose one regex would be too slow.
 _FULL = (vocab_json, encode_tokens, encode_size, encode_hex, encode_escape, decode_roundtrip, token_usage, vocab_savings, archive_directory, archive_summary, codec_file_roundtrip)
 QUERIES |= {f"{f.__name__}_full": functools.partial(f, learn=full_vocab) for f in _FULL}
-QUERIES["match_longest_per_pos_full"] = functools.partial(match_longest_per_pos, learn=full_vocab, hi=FULL_HI)
+QUERIES["match_longest_per_pos_full"] = functools.partial(match_longest_per_pos, learn=full_vocab)
 QUERIES["codec_catalog_full"] = functools.partial(codec_catalog, hi=FULL_HI, k=slots.SLOTS)
