@@ -61,7 +61,7 @@ class Decoder:
             if len(code) < 2:  # a truncated tail stays as it is
                 i = j
                 break
-            found = FLAG if code == b"\x00\x01" else self.tokens.get(code[0] << 4 | code[1] if code[1] < 16 and code[0] << 4 < SPACE else -1)
+            found = FLAG if code == b"\x00\x01" else self.tokens.get(code[0] << 4 | code[1])
             if found is None:
                 out.append(FLAG)
                 i = j + 1

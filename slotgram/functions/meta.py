@@ -17,9 +17,10 @@ def utc_text(at: Column) -> Column:
 
 
 def build_meta(codec: Column, name: Column, is_dir: Column, extension: Column, at: Column) -> Column:
-    """``key=value`` lines; the extension only for files.  ``at`` is a UTC timestamp."""
+    """``key=value`` lines, each with a line feed; the extension only for files.  ``name`` is the
+    whole file name; ``at`` is a UTC timestamp."""
     kind = F.when(is_dir, "directory").otherwise("file")
-    return F.concat_ws(
+    lines = F.concat_ws(
         "\n",
         F.concat(F.lit("codec="), codec),
         F.concat(F.lit("source_name="), name),
@@ -27,6 +28,7 @@ def build_meta(codec: Column, name: Column, is_dir: Column, extension: Column, a
         F.when(~is_dir, F.concat(F.lit("source_extension="), extension)),
         F.concat(F.lit("archived_at="), utc_text(at)),
     )
+    return F.concat(lines, F.lit("\n"))
 
 
 def meta_pairs(text: Column) -> Column:
@@ -55,6 +57,12 @@ def unpacked_name(archive: Column, is_dir: Column, source_name: Column, extensio
     return F.when(is_dir, stem).otherwise(F.when((ext != "") & ~F.endswith(name, ext), F.concat(name, ext)).otherwise(name))
 
 
+def megabytes(size: Column) -> Column:
+    """A number of bytes as text in units of a million, with one digit (half up)."""
+    tenths = F.floor((size + 50_000) / 100_000)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
+
+
 def is_safe_path(path: Column) -> Column:
     """Relative, and without a step out of the target."""
     return F.coalesce(~F.startswith(path, F.lit("/")) & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)") & (path != "") & ~path.rlike(r"^[A-Za-z]:") & ~F.contains(path, F.lit("\x00")), F.lit(False))

@@ -109,21 +109,26 @@ def read_codecs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "codec string, token string, slot int")
 
 
-def archive_entries(archives: DataFrame) -> DataFrame:
-    """One row per entry of ``archives`` (path, content); ord 0 is the metadata, unencoded."""
+def archive_entries(archives: DataFrame, content: bool = True) -> DataFrame:
+    """One row per entry of ``archives`` (path, content); ord 0 is the metadata, unencoded.  Without
+    ``content`` other entries have a null ``encoded``, and file archives are read by their headers."""
 
     def run(batches):
         for batch in batches:
             for p, x in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                codec, kind, entries = layouts.read_archive(x)
-                rows = [(p, codec, kind, i, path, len(data), data) for i, path, data in entries]
+                if not content and x[4:5] != b"D":
+                    codec, about, size, _ = layouts.read_header(x)
+                    rows = [(p, codec, "F", 0, layouts.META_FILE, len(about), about), (p, codec, "F", 1, "", size, None)]
+                else:
+                    codec, kind, entries = layouts.read_archive(x)
+                    rows = [(p, codec, kind, i, path, len(data), data if content or not i else None) for i, path, data in entries]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["archive", "codec", "entry_type", "ord", "path", "enc_size", "encoded"])
 
     return archives.select("path", "content").mapInArrow(run, ENTRY)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    return archive_entries(scan(spark, path))
+def read_archives(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    return archive_entries(scan(spark, path), content)
 
 
 def pack_directories(entries: DataFrame, preset: int = 9) -> DataFrame:
@@ -151,8 +156,9 @@ def pack_files(rows: DataFrame, preset: int = 9) -> DataFrame:
 
 
 def find_codec(name: str, folder: str = "codecs") -> Path:
-    """The file of that name, else ``folder/name.edc``; folders don't count."""
-    for path in (Path(name), Path(folder) / f"{name}.edc"):
+    """The file of that name, else ``folder/name.edc``, with or without ``.edc`` in ``name``; folders
+    don't count."""
+    for path in (Path(name), Path(folder) / f"{Path(name).name.removesuffix('.edc')}.edc"):
         if path.is_file():
             return path
     raise FileNotFoundError(f"no codec {name}")

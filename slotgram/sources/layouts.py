@@ -75,6 +75,23 @@ def write_directory_archive(codec: str, meta: str, entries: list[tuple[str, byte
     return ARCHIVE_MAGIC + b"D" + xz.pack(b"".join(parts), preset)
 
 
+def read_header(data: bytes) -> tuple[str, bytes, int, int]:
+    """Codec name, metadata, encoded size, and where the XZ stream begins, of a file archive.  The
+    stream is not touched."""
+    c = Cursor(data)
+    if c.take(4) != ARCHIVE_MAGIC:
+        raise LayoutError("not an archive")
+    if c.data[4:5] == b"D":
+        raise LayoutError("a directory archive")
+    try:
+        codec = c.take(c.number("<H")).decode()
+    except UnicodeDecodeError as e:
+        raise LayoutError(str(e)) from e
+    if c.take(1) != b"F":
+        raise LayoutError("unknown archive type")
+    return codec, c.take(c.number("<H")), c.number("<Q"), c.at
+
+
 def read_archive(data: bytes) -> tuple[str, str, Iterator[tuple[int, str, bytes]]]:
     """Codec name, type, and (ord, path, content); ord 0 is the metadata.  All sizes are
     checked.  A file archive's content has the path ''."""
@@ -90,11 +107,8 @@ def read_archive(data: bytes) -> tuple[str, str, Iterator[tuple[int, str, bytes]
                 path = c.take(c.number("<H")).decode()
                 rows.append((i, path, c.take(c.number("<Q"))))
             return codec, "D", iter(rows)
-        codec = c.take(c.number("<H")).decode()
-        if c.take(1) != b"F":
-            raise LayoutError("unknown archive type")
-        meta, size = c.take(c.number("<H")), c.number("<Q")
-        encoded = xz.unpack(data[c.at :])
+        codec, meta, size, at = read_header(data)
+        encoded = xz.unpack(data[at:])
     except (UnicodeDecodeError, EOFError, xz.lzma.LZMAError) as e:
         raise LayoutError(str(e)) from e
     if len(encoded) != size:

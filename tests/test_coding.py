@@ -1,5 +1,6 @@
 """Golden bytes, round trips, malformed input and exactness of dictionary coding."""
 
+import datetime as dt
 import hashlib
 import random
 import re
@@ -138,13 +139,42 @@ def test_pack_and_unpack(spark, tmp_path):
     assert api.summarize(spark, archive).first()["entries"] == 2
     api.unpack(spark, archive, str(tmp_path / "out"), folder=codecs)
     assert {n: (tmp_path / "out/books" / n).read_text() for n in contents} == contents
+    assert [r["path"] for r in api.list_entries(spark, archive).collect()] == ["deep/two.txt", "one.txt"]
+    about = (tmp_path / "out/books/eda_data.txt").read_text()
+    assert re.fullmatch(r"codec=en\nsource_name=books\nsource_type=directory\narchived_at=\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\n", about)
     single = api.pack(spark, str(source / "one.txt"), "en", str(tmp_path), codecs, 1)
     api.unpack(spark, single, str(tmp_path / "single"), folder=codecs)
     assert (tmp_path / "single/one.txt").read_text() == contents["one.txt"]
+    assert single.endswith("one.txt.eda") and files.find_codec("en.edc", codecs) == files.find_codec("en", codecs)
     with pytest.raises(FileNotFoundError):
         files.find_codec("none", codecs)
 
 
+def test_golden_file_archive(spark, tmp_path):
+    """The bytes of a file archive's header, its ratio from the XZ stream alone, no collision of names,
+    and several archives with codecs of their own."""
+    (tmp_path / "codecs").mkdir()
+    for name, known in (("X", VOCAB), ("Y", {"sing": 9})):
+        (tmp_path / f"codecs/{name}.edc").write_bytes(layouts.write_codec(list(known.items())))
+    for name in ("a.txt", "a.md"):
+        (tmp_path / name).write_text("the sing " * 50 + name)
+    at = dt.datetime(2026, 4, 26, 10, 0, 0)
+    made = [api.pack(spark, str(tmp_path / f), c, str(tmp_path / "out"), str(tmp_path / "codecs"), 1, at=at) for f, c in (("a.txt", "X.edc"), ("a.md", "Y"))]
+    assert made == [str(tmp_path / "out/a.txt.eda"), str(tmp_path / "out/a.md.eda")]
+    data = (tmp_path / "out/a.txt.eda").read_bytes()
+    about = b"codec=X\nsource_name=a.txt\nsource_type=file\nsource_extension=.txt\narchived_at=2026-04-26T10:00:00Z\n"
+    encoded = codec.Encoder(VOCAB).encode("the sing " * 50 + "a.txt")
+    assert data == bytes.fromhex("4544410101005846") + len(about).to_bytes(2, "little") + about + len(encoded).to_bytes(8, "little") + xz.pack(encoded, 1)
+    assert layouts.read_header(data[: len(data) - 20]) == ("X", about, len(encoded), len(data) - len(xz.pack(encoded, 1)))
+    seen = {r["codec"]: r for r in api.summarize(spark, str(tmp_path / "out")).collect()}
+    assert (seen["X"]["payload_bytes"], seen["X"]["encoded_bytes"]) == (len(xz.pack(encoded, 1)), len(encoded))
+    assert seen["X"]["percent"] == round(100 * len(xz.pack(encoded, 1)) / len(encoded), 1) and seen["X"]["encoded_size"] == "0.0 MB"
+    api.unpack(spark, str(tmp_path / "out"), str(tmp_path / "back"), folder=str(tmp_path / "codecs"))
+    for name in ("a.txt", "a.md"):
+        assert (tmp_path / "back" / name).read_text() == (tmp_path / name).read_text()
+    assert codec.Decoder({"x": 33}).decode(bytes.fromhex("010021")) == "x"
+
+
 def test_hidden_and_empty_files(spark, tmp_path):
     source = tmp_path / "_books"
     contents = {"one.txt": "the thing", "_two.txt": "the sing", ".three": "the ring\n", "empty.txt": "", ".none": "", "__init__.py": "the = 1", "_deep/.er/four.txt": "the king", "_deep/empty": ""}
@@ -156,7 +186,7 @@ def test_hidden_and_empty_files(spark, tmp_path):
     archive = api.pack(spark, str(source), "en", str(tmp_path), codecs, 1, strict=True)
     api.unpack(spark, archive, str(tmp_path / "out"), folder=codecs)
     out = tmp_path / "out/_books"
-    assert {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc")} == contents
+    assert {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc") and p.name != "eda_data.txt"} == contents
     for name in (".three", "empty.txt"):
         single = api.pack(spark, str(source / name), "en", str(tmp_path / "files"), codecs, 1, strict=True)
         api.unpack(spark, single, str(tmp_path / "single"), folder=codecs)
