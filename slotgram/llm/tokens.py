@@ -1,36 +1,53 @@
 """Token counts of byte-level BPE vocabularies from pre-token frequencies.
 
 BPE never merges across pre-tokens, so a text's token count is the sum over its distinct
-pre-tokens of frequency times pieces.  Each task counts the pieces of a distinct pre-token
-once for a block of documents (bounded bytes) and keeps a bounded table of them between
-blocks; documents join it by pre-token.  No ids of a document are ever made.  The join is
-local to the task: invented and rare words make the global table of pre-tokens grow nearly
-with the corpus, so shuffling (document, pre-token, frequency) rows would move more than the
-texts themselves (see the README).
+pre-tokens of frequency times pieces.
+
+1. One pass over the texts turns each block of documents (bounded) into pre-token frequencies,
+   inverted: a row for each distinct pre-token of the block, with the documents that hold it and
+   how often, packed.  Pre-tokens that are one entry of the vocabulary are counted on the spot:
+   that table is bounded by the vocabulary file, and broadcast.  Blocks are a written table.
+2. The distinct pre-tokens of all blocks are counted in pieces, each once.
+3. Both are joined by pre-token; products are summed by document within a task, then over all.
+
+No ids of a document are ever made.  A pre-token that stands everywhere has one row for a block,
+not for a document, and its rows may be split over tasks, since pieces have one row for each.
 
 Strings of added tokens inside a text are split off first and count one each, as the
-library does by default.  Null text counts as empty: 0 bytes, 0 tokens.  Rows are counted
-one by one, so repeated rows and other columns need no care; texts are taken whole.
+library does by default.  Null text counts as empty: 0 bytes, 0 tokens.  Rows are counted one by
+one, by their place in a block, so repeated rows, null ids and other columns need no care; an
+empty table gives an empty one; texts are taken whole.  Kept columns are written with the blocks.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
-
-from slotgram.llm.common import table
-
-LIMIT, BLOCK_CHARS, TABLE_ROWS = 1024, 4 << 20, 400_000
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+
+from slotgram.llm.common import ranges, table, written
+
+LIMIT = 1024
+#: A block ends with the document that reaches one of these; a document's place takes two bytes.
+BLOCK_CHARS, BLOCK_ROWS = 12 << 20, 1 << 16
+#: Documents whose sums a task holds at once.
+SUM_CELLS = 4 << 20
+#: A document's place in its block, and a frequency.
+POSTING = np.dtype([("at", "<u2"), ("n", "u1")])
 # Fixed value: the pre-token pattern of byte-level BPE with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class PieceCounter:
-    """Pieces of distinct pre-tokens, and token counts of texts from them."""
+class Splitter:
+    """Pre-tokens of texts, and their pieces."""
 
     def __init__(self, spec: str):
         import regex
@@ -45,9 +62,8 @@ class PieceCounter:
         self.added = [x["content"] for x in sorted(config["added_tokens"], key=lambda x: -len(x["content"]))]
         self.split = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.find = regex.compile(PATTERN).findall
-        plain = Tokenizer.from_str(spec)
-        plain.encode_special_tokens = True
-        self.tokenizer, self.pieces = plain, {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.encode_special_tokens = True
 
     def frequencies(self, text: str) -> tuple[int, Counter]:
         """Added tokens, and pre-token frequencies of the rest."""
@@ -58,40 +74,138 @@ class PieceCounter:
             found.update(self.find(part))
         return len(parts) - 1, found
 
-    def counts(self, texts: list[str]) -> list[int]:
-        all_ = [self.frequencies(t) for t in texts]
-        new = list({p for _, f in all_ for p in f if p not in self.pieces})
-        if len(self.pieces) + len(new) > TABLE_ROWS:
-            self.pieces, new = {}, list({p for _, f in all_ for p in f})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.pieces.update(zip(part, (len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        of = self.pieces
-        return [n + sum(of[p] * k for p, k in f.items()) for n, f in all_]
+    def pieces(self, words: list[str]) -> list[int]:
+        return [len(e) for i in range(0, len(words), 10_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)]
+
+    def entries(self) -> set[str]:
+        """Texts of single entries of the vocabulary that are one piece."""
+        words = [self.tokenizer.decode([i], skip_special_tokens=False) for i in range(self.tokenizer.get_vocab_size())]
+        return {w for w, n in zip(words, self.pieces(words), strict=True) if n == 1}
+
+
+class Block:
+    """Inverted pre-token frequencies of successive documents."""
+
+    def __init__(self, splitter: Splitter, single: set[str]):
+        self.splitter, self.single, self.chars = splitter, single, 0
+        self.numbers: dict[str, int] = {}
+        self.sizes, self.known = array("q"), array("q")
+        self.piece, self.at, self.times = array("i"), array("i"), array("q")
+
+    def add(self, text: str) -> None:
+        known, found = self.splitter.frequencies(text)
+        at, numbers = len(self.sizes), self.numbers
+        for word, n in found.items():
+            if word in self.single:
+                known += n
+            else:
+                self.piece.append(numbers.setdefault(word, len(numbers)))
+                self.at.append(at)
+                self.times.append(n)
+        self.sizes.append(len(text.encode()))
+        self.known.append(known)
+        self.chars += len(text)
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.sizes) >= BLOCK_ROWS
+
+    def postings(self) -> tuple[pa.Array, pa.Array]:
+        """Pre-tokens, and the documents of each; a frequency beyond a byte takes several entries."""
+        piece, at, n = (np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, np.int64) for x in (self.piece, self.at, self.times))
+        entries = (n + 254) // 255
+        of, k = np.repeat(np.arange(len(n)), entries), ranges(entries)
+        order = np.argsort(piece[of], kind="stable")
+        packed = np.zeros(len(of), POSTING)
+        packed["at"], packed["n"] = at[of][order], np.minimum(n[of] - 255 * k, 255)[order]
+        ends = np.zeros(len(self.numbers) + 1, np.int64)
+        np.cumsum(np.bincount(piece[of], minlength=len(self.numbers)) * POSTING.itemsize, out=ends[1:])
+        rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.numbers), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+        return pa.array(list(self.numbers), pa.string()).cast(pa.binary()), rows.cast(pa.binary())
+
+
+def blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter, single: set[str], task: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, then one for each pre-token, of block after block."""
+    names, number, held, block = ["block", "at", "kept", "n_bytes", "known", "piece", "rows"], task << 32, [], Block(splitter, single)
+
+    def flushed():
+        n, (pieces, rows) = len(block.sizes), block.postings()
+        kept = pa.concat_arrays(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), kept, pa.array(block.sizes, pa.int64()), pa.array(block.known, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+        for i in range(0, len(pieces), 50_000):
+            part, few = pieces[i : i + 50_000], rows[i : i + 50_000]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, kept.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), part, few], names)
+
+    for batch in batches:
+        start = 0
+        for i, text in enumerate(batch.column("text")):
+            block.add(text.as_py() or "")
+            if block.full():
+                held.append(batch.column("kept")[start : i + 1])
+                yield from flushed()
+                start, number, held, block = i + 1, number + 1, [], Block(splitter, single)
+        held.append(batch.column("kept")[start:])
+    if len(block.sizes):
+        yield from flushed()
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequencies times pieces, summed by document as far as SUM_CELLS documents are held."""
+    sums: dict[int, np.ndarray] = {}
+
+    def flushed():
+        for block, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["block", "at", "n"])
+        sums.clear()
+
+    for batch in batches:
+        rows = batch.column("rows").cast(pa.large_binary())
+        ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        packed = np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(POSTING) if len(rows) else np.zeros(0, POSTING)
+        entries = np.diff(ends) // POSTING.itemsize
+        product = packed["n"] * np.repeat(batch.column("n").to_numpy(), entries)
+        block, at = np.repeat(batch.column("block").to_numpy(), entries), packed["at"]
+        for b in np.unique(block):
+            here = block == b
+            total = np.zeros(int(at[here].max()) + 1, np.int64)
+            np.add.at(total, at[here], product[here])
+            old = sums.get(int(b), total[:0])
+            long, short = (old, total) if len(old) > len(total) else (total, old)
+            long[: len(short)] += short
+            sums[int(b)] = long
+        if sum(map(len, sums.values())) > SUM_CELLS:
+            yield from flushed()
+    yield from flushed()
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """Columns ``keep`` (default: all) with n_bytes, n_tokens and over_limit (more than
     ``limit`` tokens).  ``tokenizer_path`` is read on the driver only."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size is fixed
-    keep = [c for c in (keep or docs.columns) if c not in ("n_bytes", "n_tokens", "over_limit")]
-    docs = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
+        text = f.read()
+    context = docs.sparkSession.sparkContext
+    spec, single = context.broadcast(text), context.broadcast(Splitter(text).entries())  # bounded by the vocabulary file
+    keep = list(dict.fromkeys(c for c in (keep or docs.columns) if c not in ("n_bytes", "n_tokens", "over_limit")))
+    docs = docs.select(F.struct(*keep).alias("kept"), "text")
+    schema = StructType([StructField("block", LongType()), StructField("at", IntegerType()), StructField("kept", docs.schema["kept"].dataType), StructField("n_bytes", LongType()), StructField("known", LongType()), StructField("piece", BinaryType()), StructField("rows", BinaryType())])
+
+    def indexed(batches):
+        yield from blocks(batches, Splitter(spec.value), single.value, TaskContext.get().partitionId())
 
     def counted(batches):
-        counter = PieceCounter(spec.value)
+        splitter = Splitter(spec.value)
         for batch in batches:
-            texts, n, i = [t or "" for t in batch.column("text").to_pylist()], [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK_CHARS):
-                    size, j = size + len(texts[j]), j + 1
-                n += counter.counts(texts[i:j])
-                i = j
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [*keep, "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.mapInArrow(counted, schema)
+            words = [w.decode() for w in batch.column("piece").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(splitter.pieces(words), pa.int64())], ["piece", "n"])
+
+    index = written(docs.mapInArrow(indexed, schema), "token-index")
+    postings = index.where("piece is not null").select("piece", "block", "rows")
+    pieces = postings.select("piece").distinct().mapInArrow(counted, "piece binary, n long")
+    sums = postings.join(pieces.hint("merge"), "piece").select("block", "rows", "n").mapInArrow(summed, "block long, at int, n long")
+    totals = sums.groupBy("block", "at").agg(F.sum("n").alias("n"))
+    tokens = F.col("known") + F.coalesce("n", F.lit(0))
+    return index.where("at is not null").select("block", "at", "kept", "n_bytes", "known").join(totals, ["block", "at"], "left").select("kept.*", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,37 @@ def test_tokens(spark, docs, none):
     assert tokens.token_counts(none, path).count() == 0
 
 
+def test_tokens_blocks(spark, monkeypatch):
+    """Several blocks in a task, frequencies beyond a byte, one pre-token in every row, ties of
+    ids, clashing columns, and sums that leave a task early: as the library counts."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, rng = public.path("byte_bpe_50k.json"), random.Random(8)
+    words = ["zqxvorp", "\u0416\u0444\u042f", "the", "qq7", "\n\n\n ", "\U0001f600\U0001f601", "<|endoftext|>"]
+    texts = [" zqxvorp" * 700 + " the" * 300, None, "", "k" * 20_000] + [" zqxvorp " + " ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(300)]
+    rows = [(i % 7 if i % 5 else None, t, i, "mine", i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block long, piece string, at long").repartition(2)
+    library = Tokenizer.from_file(path)
+    want = [(*r, len((r[1] or "").encode()), n := len(library.encode(r[1] or "", add_special_tokens=False)), n > 1024) for r in rows]
+    assert key(tokens.token_counts(df, path).collect()) == key(want)
+
+    splitter, single = tokens.Splitter(open(path, encoding="utf-8").read()), {"the", " the"}
+    monkeypatch.setattr(tokens, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(tokens, "SUM_CELLS", 40)
+    kept = pa.StructArray.from_arrays([pa.array(range(len(texts)))], ["i"])
+    batch = pa.RecordBatch.from_arrays([kept, pa.array(texts)], ["kept", "text"])
+    found = pa.Table.from_batches(tokens.blocks(iter([batch.slice(0, 21), batch.slice(21)]), splitter, single, 3)).to_pylist()
+    docs, got = {(r["block"], r["at"]): r for r in found if r["at"] is not None}, {}
+    assert [r["kept"]["i"] for r in docs.values()] == list(range(len(texts))) and len({b for b, _ in docs}) == 19
+    pieces = [r for r in found if r["piece"] is not None]
+    joined = pa.RecordBatch.from_pydict({"block": [r["block"] for r in pieces], "rows": [r["rows"] for r in pieces], "n": splitter.pieces([r["piece"].decode() for r in pieces])})
+    for part in tokens.summed(iter([joined.slice(0, 50), joined.slice(50)])):
+        for r in part.to_pylist():
+            got[r["block"], r["at"]] = got.get((r["block"], r["at"]), 0) + r["n"]
+    assert [r["known"] + got.get(k, 0) for k, r in docs.items()] == [w[6] for w in want]
+
+
 def test_mixing(spark, docs, none):
     mixed = mixing.mix_sources(docs.withColumn("size", F.lit("clash"))).collect()
     assert len(mixed) == len(EDGE)
