@@ -7,11 +7,14 @@ pre-tokens of frequency times pieces.
    inverted: a row for each distinct pre-token of the block, with the documents that hold it and
    how often, packed.  Pre-tokens that are one entry of the vocabulary are counted on the spot:
    that table is bounded by the vocabulary file, and broadcast.  Blocks are a written table.
-2. The distinct pre-tokens of all blocks are counted in pieces, each once.
-3. Both are joined by pre-token; products are summed by document within a task, then over all.
+2. The rows are dealt out and sorted by pre-token.  Each run of equal pre-tokens is counted in
+   pieces once, and joined to the frequencies as the run passes: a merge join in one stream.
+3. Products are summed by document within a task, packed by block, and then over all tasks: the
+   sums of a block meet in one stream, which gives one row for each document.
 
 No ids of a document are ever made.  A pre-token that stands everywhere has one row for a block,
-not for a document, and its rows may be split over tasks, since pieces have one row for each.
+not for a document; in blocks where it takes HOT entries or more its rows are dealt over SALTS
+tasks (and counted once in each), so no task gets more than a small row for each block.
 
 Strings of added tokens inside a text are split off first and count one each, as the
 library does by default.  Null text counts as empty: 0 bytes, 0 tokens.  Rows are counted one by
@@ -22,22 +25,26 @@ empty table gives an empty one; texts are taken whole.  Kept columns are written
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from slotgram.llm.common import ranges, table, written
+from slotgram.scratch import settings
 
 LIMIT = 1024
 #: A block ends with the document that reaches one of these; a document's place takes two bytes.
 BLOCK_CHARS, BLOCK_ROWS = 12 << 20, 1 << 16
+HOT, SALTS = 512, 256
 #: Documents whose sums a task holds at once.
 SUM_CELLS = 4 << 20
 #: A document's place in its block, and a frequency.
@@ -75,7 +82,7 @@ class Splitter:
         return len(parts) - 1, found
 
     def pieces(self, words: list[str]) -> list[int]:
-        return [len(e) for i in range(0, len(words), 10_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)]
+        return [len(e) for i in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[i : i + 1000], add_special_tokens=False)]
 
     def entries(self) -> set[str]:
         """Texts of single entries of the vocabulary that are one piece."""
@@ -110,7 +117,8 @@ class Block:
         return self.chars >= BLOCK_CHARS or len(self.sizes) >= BLOCK_ROWS
 
     def postings(self) -> tuple[pa.Array, pa.Array]:
-        """Pre-tokens, and the documents of each; a frequency beyond a byte takes several entries."""
+        """Pre-tokens in order, and the documents of each; a frequency beyond a byte takes
+        several entries."""
         piece, at, n = (np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, np.int64) for x in (self.piece, self.at, self.times))
         entries = (n + 254) // 255
         of, k = np.repeat(np.arange(len(n)), entries), ranges(entries)
@@ -120,7 +128,9 @@ class Block:
         ends = np.zeros(len(self.numbers) + 1, np.int64)
         np.cumsum(np.bincount(piece[of], minlength=len(self.numbers)) * POSTING.itemsize, out=ends[1:])
         rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.numbers), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-        return pa.array(list(self.numbers), pa.string()).cast(pa.binary()), rows.cast(pa.binary())
+        pieces = pa.array(list(self.numbers), pa.string()).cast(pa.binary())
+        by = pc.sort_indices(pieces)  # neighbours share letters, which packs the table and the shuffle
+        return pieces.take(by), rows.take(by).cast(pa.binary())
 
 
 def blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter, single: set[str], task: int) -> Iterator[pa.RecordBatch]:
@@ -149,22 +159,57 @@ def blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter, single: set[st
         yield from flushed()
 
 
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequencies times pieces, summed by document as far as SUM_CELLS documents are held."""
+def packed_sums(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Steps between places, then sums, each byte by byte: shuffles compress what is alike."""
+    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(at), -1).T).tobytes() for x in (np.diff(at, prepend=0).astype("<u2"), n.astype("<i8")))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (block, at, n) for each document of the packed sums, which come block by block."""
+    last, total = None, np.zeros(BLOCK_ROWS, np.int64)
+
+    def flushed():
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), last)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["block", "at", "n"])
+        total[:] = 0
+
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            if block != last:
+                yield from flushed()
+                last = block
+            planes = np.frombuffer(data, np.uint8).reshape(10, -1)
+            at, n = (np.ascontiguousarray(x.T).view(t).ravel() for x, t in ((planes[:2], "<u2"), (planes[2:], "<i8")))
+            total[np.cumsum(at, dtype=np.int64)] += n
+    yield from flushed()
+
+
+def summed(batches: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[pa.RecordBatch]:
+    """Frequencies times pieces, summed by document as far as SUM_CELLS documents are held.
+    Rows come in order of pre-tokens."""
     sums: dict[int, np.ndarray] = {}
+    last, pieces = None, [0]
 
     def flushed():
         for block, total in sums.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["block", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed_sums(at, total[at])], pa.binary())], ["block", "sums"])
         sums.clear()
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs = batch.column("piece").dictionary_encode()
+        words = runs.dictionary.to_pylist()
+        again = words[0] == last  # a run goes on
+        pieces = pieces[-1:] * again + splitter.pieces([w.decode() for w in words[again:]])
+        last = words[-1]
         rows = batch.column("rows").cast(pa.large_binary())
         ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
-        packed = np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(POSTING) if len(rows) else np.zeros(0, POSTING)
+        packed = np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(POSTING)
         entries = np.diff(ends) // POSTING.itemsize
-        product = packed["n"] * np.repeat(batch.column("n").to_numpy(), entries)
+        product = packed["n"] * np.repeat(np.array(pieces, np.int64)[runs.indices.to_numpy()], entries)
         block, at = np.repeat(batch.column("block").to_numpy(), entries), packed["at"]
         for b in np.unique(block):
             here = block == b
@@ -191,19 +236,18 @@ def token_counts(docs: DataFrame, tokenizer_path: str, keep: list[str] | None =
     schema = StructType([StructField("block", LongType()), StructField("at", IntegerType()), StructField("kept", docs.schema["kept"].dataType), StructField("n_bytes", LongType()), StructField("known", LongType()), StructField("piece", BinaryType()), StructField("rows", BinaryType())])
 
     def indexed(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads take memory
         yield from blocks(batches, Splitter(spec.value), single.value, TaskContext.get().partitionId())
 
-    def counted(batches):
-        splitter = Splitter(spec.value)
-        for batch in batches:
-            words = [w.decode() for w in batch.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(splitter.pieces(words), pa.int64())], ["piece", "n"])
-
-    index = written(docs.mapInArrow(indexed, schema), "token-index")
-    postings = index.where("piece is not null").select("piece", "block", "rows")
-    pieces = postings.select("piece").distinct().mapInArrow(counted, "piece binary, n long")
-    sums = postings.join(pieces.hint("merge"), "piece").select("block", "rows", "n").mapInArrow(summed, "block long, at int, n long")
-    totals = sums.groupBy("block", "at").agg(F.sum("n").alias("n"))
+    def multiplied(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        yield from summed(batches, Splitter(spec.value))
+
+    with settings(docs.sparkSession, {"spark.sql.parquet.compression.codec": "zstd"}):
+        index = written(docs.mapInArrow(indexed, schema), "token-index")
+    postings = index.where("piece is not null").select("piece", "block", "rows").repartition("piece", F.when(F.octet_length("rows") < HOT * POSTING.itemsize, 0).otherwise(F.col("block") % SALTS)).sortWithinPartitions("piece")
+    sums = postings.mapInArrow(multiplied, "block long, sums binary").repartition("block").sortWithinPartitions("block")
+    totals = sums.mapInArrow(unpacked, "block long, at int, n long")
     tokens = F.col("known") + F.coalesce("n", F.lit(0))
     return index.where("at is not null").select("block", "at", "kept", "n_bytes", "known").join(totals, ["block", "at"], "left").select("kept.*", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
 
