@@ -1,10 +1,12 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Each row gets a hash-random key.  Keys are ranges-partitioned by their leading hex digits
-inside each source; sums of sizes over those ranges, then over keys of the one range in
-which the budget ends, are distributed prefix sums.  They give one cut per source (whole
-epochs, cut key, share at the cut), and one map-side pass over the rows applies it, so texts
-are never shuffled or sorted.
+Each row gets a hash-random key.  Keys are range-partitioned by their leading hex digits
+inside each source, level by level: sums of sizes over the ranges of a level give the one range
+in which the budget ends, which the next level divides by further digits, and at last by whole
+keys.  These distributed prefix sums see at most 16 ** LEVEL_DIGITS ranges of a source at once,
+and in the end a part of 16 ** (LEVELS * LEVEL_DIGITS) of its keys.  They give one cut per source
+(whole epochs, cut key, share at the cut), and one map-side pass over the rows applies it, so
+texts are never shuffled or sorted.
 
 Nulls: a null source is a source of its own, sorted last; a null text has size 0; a null id
 is hashed as an empty string.  Rows with equal key (repeated rows) share what is left at the
@@ -23,7 +25,9 @@ from pyspark.sql.window import Window
 from slotgram.llm.common import WORD, drop, small, written
 
 ADDED = ["size", "source_size", "target", "taken"]
-SHARE, CAP, WEIGHTS, SEED, HEX_DIGITS = 1.5, 2, (5.0, 2.0, 1.0), "mix-1", 3
+SHARE, CAP, WEIGHTS, SEED = 1.5, 2, (5.0, 2.0, 1.0), "mix-1"
+#: Leading hex digits of the keys by which a level divides a range, and levels before whole keys.
+LEVEL_DIGITS, LEVELS = 3, 2
 
 
 def word_count(text: Column) -> Column:
@@ -57,26 +61,41 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return filled.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def sums_before(parts: DataFrame, by: str) -> DataFrame:
+    """``parts`` (s, before, size, ...) with the sizes of the parts before, in order of ``by``, added to ``before``."""
+    each = Window.partitionBy("s").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(each), F.lit(0)))
+
+
+def range_of_cut(ranges: DataFrame) -> DataFrame:
+    """s, range, before, rest: of each source's ``ranges`` the one in which ``rest`` words end; none
+    where nothing is left."""
+    return sums_before(ranges, "range").where("before <= rest and rest < before + size").select("s", "range", "before", "rest")
+
+
 def source_cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per source: source_size, target, epochs, cut_key, cut_share (words that each
     row with the cut key gives)."""
     sizes = written(docs.select("source", mixing_key(seed).alias("key"), word_count(F.col("text")).alias("size")), "mixing-sizes")
-    slim = sizes.withColumn("bucket", F.substring("key", 1, HEX_DIGITS))
-    buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    goal = targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    first = sizes.groupBy("source", F.substring("key", 1, LEVEL_DIGITS).alias("range")).agg(F.sum("size").alias("size"))
+    first = written(first, "mixing-ranges")
+    goal = targets(first.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("words", F.floor("target")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long")))
     goal = goal.withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
     goal = written(goal, "mixing-targets")
-    each = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ended = buckets.withColumn("before", F.coalesce(F.sum("size").over(each), F.lit(0)))
-    ended = ended.join(small(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).where("before <= rest and rest < before + size").select("s", F.col("bucket").alias("b"), "before", "rest")
-    keys = slim.join(small(ended), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    keys = keys.groupBy("s", "before", "rest", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    inside = Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    keys = keys.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    left = goal.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("before"))
+    ended = written(range_of_cut(first.join(small(left), F.col("source").eqNullSafe(F.col("s")))), "mixing-ended")
+    drop(first)
+    inside = lambda: sizes.join(small(ended), F.col("source").eqNullSafe(F.col("s")) & F.col("key").startswith(F.col("range"))).drop("range")
+    for level in range(2, LEVELS + 1):
+        parts = inside().groupBy("s", "before", "rest", F.substring("key", 1, LEVEL_DIGITS * level).alias("range")).agg(F.sum("size").alias("size"))
+        ended, wider = written(range_of_cut(parts), "mixing-ended"), ended
+        drop(wider)
+    keys = inside().groupBy("s", "before", "rest", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    keys = sums_before(keys, "key")
     cut = keys.where("before <= rest and rest < before + size").select("s", F.col("key").alias("cut_key"), F.expr("(rest - before) div rows").alias("cut_share"))
     cuts = written(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_share"), "mixing-cuts")
-    drop(sizes, goal)
+    drop(sizes, goal, ended)
     return cuts
 
 

@@ -371,6 +371,16 @@ def test_tokens_blocks(spark, monkeypatch):
     assert [r["known"] + got.get(k, 0) for k, r in docs.items()] == [w[6] for w in want]
 
 
+def test_mixing_levels(spark, docs, monkeypatch):
+    """The cut does not depend on how finely its ranges are divided on the way."""
+    got = [key(mixing.mix_sources(docs).collect())]
+    for digits, levels in ((1, 1), (1, 4)):
+        monkeypatch.setattr(mixing, "LEVEL_DIGITS", digits)
+        monkeypatch.setattr(mixing, "LEVELS", levels)
+        got.append(key(mixing.mix_sources(docs.repartition(4)).collect()))
+    assert got[0] == got[1] == got[2]
+
+
 def test_mixing(spark, docs, none):
     mixed = mixing.mix_sources(docs.withColumn("size", F.lit("clash"))).collect()
     assert len(mixed) == len(EDGE)
