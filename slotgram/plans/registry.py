@@ -214,7 +214,20 @@ def vocab_global(spark, sf_dir):
     return vocab.train(documents(spark, sf_dir), 3, FULL_HI, MIN_FREQ)
 
 
-@query()
+def partitioned_sql(parts: int, lo: int, hi: int) -> str:
+    """Part after part: up to its share and what earlier ones left, of grams not yet taken."""
+    base, step = slots.SLOTS // parts, []
+    for p in range(parts + 1):
+        seen = " UNION ALL ".join(f"SELECT gram FROM t{q}" for q in range(p)) or "SELECT '' WHERE false"
+        rows = f"SELECT gram, cnt FROM g WHERE part = {p}" if p < parts else "SELECT gram, CAST(sum(cnt) AS BIGINT) AS cnt FROM g GROUP BY gram"
+        upto = base * (p + 1) if p + 1 < parts else slots.SLOTS
+        step.append(f"t{p} AS MATERIALIZED (SELECT *, {p} AS step FROM (SELECT *, row_number() OVER ({ORDER}) AS r FROM ({rows}) WHERE gram NOT IN ({seen})) WHERE r <= {upto} - (SELECT count(*) FROM ({seen})))")
+    counts = f"g AS MATERIALIZED (SELECT part, gram, count(*) AS cnt FROM ({grams_sql(lo, hi)}) JOIN ({SIZED}) USING (doc_id) GROUP BY part, gram HAVING count(*) >= {MIN_FREQ})"
+    taken = " UNION ALL ".join(f"SELECT * FROM t{p}" for p in range(parts + 1))
+    return f"WITH {counts}, {', '.join(step)} SELECT gram AS token, slot, cnt FROM (SELECT gram, cnt, row_number() OVER (ORDER BY step, r) AS slot_rank FROM ({taken})) JOIN ({SLOTS_SQL}) USING (slot_rank)"
+
+
+@query(partitioned_sql(GROUPS, 3, 4))
 def vocab_partitioned(spark, sf_dir):
     return vocab.train_partitioned(documents(spark, sf_dir), GROUPS, 3, 4, MIN_FREQ)
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import glob
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,9 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from slotgram.functions.text import decoded, is_text
+from slotgram.scratch import new_path
 from slotgram.sources import layouts
 
 ENTRY = "archive string, codec string, entry_type string, ord int, path string, enc_size long, encoded binary"
+#: Bytes of entries in one Arrow batch.
+BATCH_BYTES = 64 << 20
 
 
 def _hidden(name: str) -> bool:
@@ -65,10 +67,9 @@ def _left_out(spark: SparkSession, path: str) -> Iterator[tuple[str, int]]:
 
 
 def _copied(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, length, content of hidden files, through copies with plain names in the folder
-    named by ``spark.checkpoint.dir``: no file source of Spark opens a hidden name."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='slotgram-')}"
-    folder, java = f"{shared.rstrip('/')}/hidden-{uuid.uuid4().hex}", spark._jvm.org.apache.hadoop.fs
+    """path, length, content of hidden files, through copies with plain names in the shared folder
+    of intermediate tables: no file source of Spark opens a hidden name."""
+    folder, java = new_path(spark, "hidden"), spark._jvm.org.apache.hadoop.fs
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     for i, path in enumerate(paths):
         source, target = java.Path(path), java.Path(f"{folder}/{i}")
@@ -111,7 +112,13 @@ def read_codecs(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_entries(archives: DataFrame, content: bool = True) -> DataFrame:
     """One row per entry of ``archives`` (path, content); ord 0 is the metadata, unencoded.  Without
-    ``content`` other entries have a null ``encoded``, and file archives are read by their headers."""
+    ``content`` other entries have a null ``encoded``, and file archives are read by their headers.
+    Entries leave in batches of at most BATCH_BYTES, or of one larger entry."""
+    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+    names = ["archive", "codec", "entry_type", "ord", "path", "enc_size", "encoded"]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches):
         for batch in batches:
@@ -122,7 +129,14 @@ def archive_entries(archives: DataFrame, content: bool = True) -> DataFrame:
                 else:
                     codec, kind, entries = layouts.read_archive(x)
                     rows = [(p, codec, kind, i, path, len(data), data if content or not i else None) for i, path, data in entries]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["archive", "codec", "entry_type", "ord", "path", "enc_size", "encoded"])
+                held = 0
+                for i, row in enumerate(rows):
+                    size = len(row[-1] or b"") + len(row[4]) + 64
+                    if i and held + size > BATCH_BYTES:
+                        yield batch_of(rows[first:i])
+                        held = 0
+                    first, held = (first, held + size) if held else (i, size)
+                yield batch_of(rows[first:])
 
     return archives.select("path", "content").mapInArrow(run, ENTRY)
 

@@ -150,6 +150,18 @@ def test_pack_and_unpack(spark, tmp_path):
         files.find_codec("none", codecs)
 
 
+def test_archive_entries_in_batches(spark, monkeypatch):
+    """Entries of one archive leave in several batches, in order; one may be larger than a batch."""
+    held = [(f"{i:02d}", bytes([i]) * (i * 40)) for i in range(12)]
+    data = layouts.write_directory_archive("en", "k=v", held, 0)
+    archives = spark.createDataFrame([("a.eda", data), ("b.eda", layouts.write_directory_archive("en", "", [], 0))], "path string, content binary")
+    for limit in (1, 300, 1 << 20):
+        monkeypatch.setattr(files, "BATCH_BYTES", limit)
+        rows = files.archive_entries(archives).collect()
+        assert [(r["ord"], r["path"], bytes(r["encoded"])) for r in rows if r["archive"] == "a.eda"] == [(0, "eda_data.txt", b"k=v"), *((i, p, x) for i, (p, x) in enumerate(held, 1))]
+        assert [r["ord"] for r in rows if r["archive"] == "b.eda"] == [0]
+
+
 def test_golden_file_archive(spark, tmp_path):
     """The bytes of a file archive's header, its ratio from the XZ stream alone, no collision of names,
     and several archives with codecs of their own."""
