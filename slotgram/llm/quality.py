@@ -56,7 +56,9 @@ def _byte_classes() -> np.ndarray:
 
 _CLASS = _byte_classes()
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
-_LEAD = (np.arange(256) & 0xC0) != 0x80
+#: For each byte its class; then the symbols that are counted by themselves, and what begins no code point.
+MARK, INSIDE = len(CLASSES), len(CLASSES) + 1
+_CODE = np.where(_CLASS == 255, INSIDE, np.where(_SYMBOL, MARK, _CLASS)).astype(np.int64)
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -83,6 +85,11 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def histograms(text: np.ndarray, bins: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Counts of the ``bins`` (below k) of each of n texts, given each bin's text."""
+    return np.bincount(text * k + bins, minlength=n * k).reshape(n, k)
+
+
 def repeated_words(words: Words, k: int = REPEAT_WINDOW) -> np.ndarray:
     """Per text, words inside windows of k words found twice or more in that text."""
     at = words.whole(k)
@@ -117,16 +124,16 @@ def _measured(batch: pa.RecordBatch) -> Iterator[tuple[int, int, dict[str, np.nd
         place = np.searchsorted(_ALL, folded.hashes)
         place[place == len(_ALL)] = 0
         common = np.where(_ALL[place] == folded.hashes, place, len(_ALL)) if len(place) else place
-        text = words.text_of()
-        hist = np.zeros((j - i, len(_ALL) + 1))
-        np.add.at(hist, (text, common), 1)
-        codes = _CLASS[buf]
-        classes = np.stack([_per_text(codes == c, offsets) for c in range(len(CLASSES))], 1).astype(float)
+        hist = histograms(words.text_of(), common, j - i, len(_ALL) + 1).astype(float)
+        codes = histograms(np.repeat(np.arange(j - i), np.diff(offsets)), _CODE[buf], j - i, INSIDE + 1)
+        marks = codes[:, MARK].copy()
+        codes[:, CLASSES.index("symbol")] += marks
+        classes = codes[:, :MARK].astype(float)
         n, repeats = words.count.astype(np.int64), repeated_words(words)
         yield i, j, {
             "lang": lang, "classes": classes, "common": hist, "n_words": n,
-            "word_chars": _per_text(_LEAD[buf], offsets) - classes[:, CLASSES.index("space")].astype(np.int64),
-            "n_symbols": _per_text(_SYMBOL[buf], offsets), "n_dup_lines": repeated_lines(buf, offsets), "n_repeat_words": repeats,
+            "word_chars": codes[:, :MARK].sum(1) - codes[:, CLASSES.index("space")],
+            "n_symbols": marks, "n_dup_lines": repeated_lines(buf, offsets), "n_repeat_words": repeats,
             "base_failed": (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n),
         }
 
