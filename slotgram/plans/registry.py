@@ -377,9 +377,7 @@ def codec_file_roundtrip(spark, sf_dir, learn=small_vocab):
 
 @query(f"SELECT lang AS codec, count(*) AS tokens, CAST(sum(strlen(gram) + 3) AS BIGINT) AS entry_bytes FROM (SELECT *, row_number() OVER (PARTITION BY lang {ORDER}) AS r FROM (SELECT lang, gram, count(*) AS cnt FROM ({grams_sql(3, 4, 'lang')}) GROUP BY lang, gram HAVING count(*) >= {MIN_FREQ})) WHERE r <= {SMALL_K} GROUP BY lang")
 def codec_catalog(spark, sf_dir, hi=4, k=SMALL_K):
-    counts = grams.count_grams(documents(spark, sf_dir), 3, hi, ["lang"]).where(F.col("cnt") >= MIN_FREQ)
-    order = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.length("gram"), "gram")
-    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    top = grams.levelwise(documents(spark, sf_dir), 3, hi, k, MIN_FREQ, ["lang"])
     return vocab.catalog(top.select(F.col("lang").alias("codec"), F.col("gram").alias("token")))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -276,3 +277,52 @@ def test_slots(spark):
     found = [r["slot"] for r in slots.slot_space(spark).orderBy("slot").collect()]
     assert (len(found), found[0], found[-1]) == (3570, 2, 4095)
     assert sum(r["slot_count"] for r in slots.quotas(spark, 7).collect()) == 3570
+
+
+def _brute_grams(rows, lo, hi, k, min_freq):
+    by = {}
+    for group, t in rows:
+        for n in range(lo, hi + 1):
+            by.setdefault(group, Counter()).update(t[i : i + n] for i in range(len(t or "") - n + 1))
+    order = lambda r: (-r[1], len(r[0]), r[0])
+    return Counter((group, *r) for group, x in by.items() for r in sorted((r for r in x.items() if r[1] >= min_freq), key=order)[:k])
+
+
+@pytest.mark.parametrize(("lo", "hi", "k", "min_freq"), [(3, 16, 50, 5), (1, 8, 300, 1), (3, 16, 5000, 2), (4, 6, 20, 2)])
+def test_levelwise_by_group(spark, lo, hi, k, min_freq):
+    """The best grams of each group, also of null."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdé \U0001f600") for _ in range(r.randint(1, 5))) for _ in range(30)]
+    rows = [(r.choice(["a", "b", None]), r.choice([None, "", "ab", " ".join(r.choice(words) for _ in range(r.randint(1, 60)))])) for _ in range(90)] + [("z", "x"), ("y", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert Counter(map(tuple, grams.levelwise(docs, lo, hi, k, min_freq, ["lang"]).collect())) == _brute_grams(rows, lo, hi, k, min_freq)
+    assert Counter((None, *x) for x in grams.levelwise(docs, lo, hi, k, min_freq).collect()) == _brute_grams([(None, t) for _, t in rows], lo, hi, k, min_freq)
+
+
+def test_places_and_sums(monkeypatch):
+    """Sorted tables find what dense ones find; rows that leave early sum up to the same."""
+    numbers, asked = np.array([1, 4, 7]), np.arange(9)
+    assert grams._Table(numbers, 9, 9).find(asked).tolist() == grams._Table(numbers, 9, 0).find(asked).tolist() == [-1, 0, -1, -1, 1, -1, -1, 2, -1]
+    monkeypatch.setattr(grams, "HELD", 10)
+    sums, want, got = grams._Sums(), Counter(), Counter()
+    for i in range(40):
+        keys = np.arange(i % 7, 20)
+        want.update({(i % 3, int(x)): i for x in keys})
+        for b in sums.add(i % 3, keys, np.full(len(keys), i)):
+            got.update({(r["g"], r["key"]): r["cnt"] for r in b.to_pylist()})
+    for b in sums.rows():
+        got.update({(r["g"], r["key"]): r["cnt"] for r in b.to_pylist()})
+    assert got == want
+
+
+def test_levelwise_reads_the_texts_a_few_times(spark):
+    """Once for each length was 14 times."""
+    docs, seen = registry.documents(spark, "/root/testdata/sf0.001").select("text"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    grams.levelwise(docs.mapInArrow(counted, "text string"), 3, 16, 500, 5)
+    assert 2 * docs.count() <= seen.value <= 7 * docs.count()
