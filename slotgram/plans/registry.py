@@ -331,12 +331,12 @@ def meta_parse(spark, sf_dir):
 
 
 def archived(spark, sf_dir, learn=small_vocab) -> DataFrame:
-    """Entries after documents were encoded, packed as one directory archive per language,
-    and read again."""
+    """Entries, without their contents, after documents were encoded, packed as one directory
+    archive per language, and read again."""
     docs = documents(spark, sf_dir)
     encoded = codec.encode(docs, learn(docs), ["doc_id", "lang"])
     rows = encoded.select(F.concat("lang", F.lit(".eda")).alias("archive"), F.concat(F.lit("c_"), "lang").alias("codec"), F.concat(F.lit("codec=c_"), "lang").alias("meta"), F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), "encoded")
-    return files.archive_entries(files.pack_directories(rows, 1).withColumnRenamed("archive", "path"))
+    return files.archive_entries(files.pack_directories(rows, 1).withColumnRenamed("archive", "path"), content=False)
 
 
 @query(f"{pieces_sql()}, s AS (SELECT doc_id, CAST(sum(length(code) // 2) AS BIGINT) AS enc_size FROM j GROUP BY doc_id) SELECT lang || '.eda' AS archive, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS ord, 'doc/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, enc_size FROM s JOIN documents USING (doc_id)")

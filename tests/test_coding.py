@@ -48,6 +48,20 @@ def test_round_trip(value, tokens):
     assert [p for p, c in codec.Encoder(known).pieces(value) if c] == [p for p in parts if p in known]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab\x01é\U0001f600", max_size=40), max_size=6), st.sets(st.text(alphabet="abé\x01", min_size=1, max_size=4), max_size=8), st.sampled_from([0, 1 << 23]))
+def test_batches_encode_as_single_texts(values, tokens, table):
+    known = {t: s for t, s in zip(sorted(tokens), (s for s in range(4096) if s >> 4 != 1 and s & 255 != 1 and s >> 8 != 1 and s & 15), strict=False)}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(codec, "TABLE", table)
+        many = codec.BatchEncoder(known)
+    single, raw = codec.Encoder(known), [x.encode() for x in values]
+    out, begins, used, chars = many.encode(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64))
+    pieces = [[p for p, c in single.pieces(x) if c] for x in values]
+    assert [out[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:], strict=True)] == [single.encode(x) for x in values]
+    assert (used.tolist(), chars.tolist()) == ([len(p) for p in pieces], [sum(map(len, p)) for p in pieces])
+
+
 @pytest.mark.parametrize("spoil", [lambda b: b[:-3], lambda b: b"XXXX" + b[4:], lambda b: b + b"x"])
 def test_spoilt_archives(spoil):
     for data in (layouts.write_file_archive("en", "k=v", b"abc", 0), layouts.write_directory_archive("en", "k=v", [("b", b"2"), ("a", b"1")], 0)):
