@@ -101,8 +101,7 @@ def _plain(name: str) -> str:
 def summarize(spark: SparkSession, archive: str) -> DataFrame:
     """One row for each archive, with sizes also as text; file archives are read by their headers."""
     ship(spark)
-    sizes = files.scan(spark, archive).select(F.col("path").alias("archive"), F.col("length").alias("archive_bytes"))
-    found = inspect.summary(files.read_archives(spark, archive, content=False), sizes)
+    found = inspect.summary_of_heads(files.archive_heads(files.scan(spark, archive)))
     return found.withColumns({"archive_size": meta.megabytes(F.col("archive_bytes")), "encoded_size": meta.megabytes(F.col("encoded_bytes"))})
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from slotgram.functions import codec, meta, slots, text, xz
 from slotgram.functions.paths import checked
-from slotgram.operators import corpus, grams, vocab
+from slotgram.operators import corpus, grams, inspect, vocab
 from slotgram.plans import api, registry
 from slotgram.sources import files, layouts
 from slotgram.streaming.counts import running_counts
@@ -340,3 +340,50 @@ def test_levelwise_reads_the_texts_a_few_times(spark):
 
     grams.levelwise(docs.mapInArrow(counted, "text string"), 3, 16, 500, 5)
     assert 2 * docs.count() <= seen.value <= 7 * docs.count()
+
+
+@pytest.mark.parametrize(("lo", "hi", "k"), [(3, 6, 40), (2, 4, 300), (1, 2, 300)])
+def test_few_grams_are_counted_in_two_reads(spark, lo, hi, k):
+    """Once for each length was four times for 3 to 6 characters; no pair spans two texts."""
+    r, seen = random.Random(8), spark.sparkContext.accumulator(0)
+    rows = [(r.choice(["a", "b"]), "".join(r.choice("abcé\U0001f600") for _ in range(r.choice([0, 1, 2, 3, 7, 40])))) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    read = docs.select("text").mapInArrow(counted, "text string")
+    assert Counter((None, *x) for x in grams.levelwise(read, lo, hi, k, 2).collect()) == _brute_grams([(None, t) for _, t in rows], lo, hi, k, 2)
+    assert seen.value <= 2 * len(rows)
+    assert Counter(map(tuple, grams.levelwise(docs, lo, hi, k, 2, ["lang"]).collect())) == _brute_grams(rows, lo, hi, k, 2)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab\x01é", max_size=60) | st.integers(0, 60).map(lambda n: "a" * n), max_size=6), st.sets(st.text(alphabet="abé", min_size=3, max_size=7), max_size=8), st.sampled_from([1, 100]), st.sampled_from([1, 30, 1 << 21]))
+def test_long_tokens_encode_as_in_single_texts(values, tokens, rounds, leads):
+    """Tokens that hold their code, long runs of overlapping ones, and first depths by a table."""
+    known = {t: s for t, s in zip(sorted(tokens), (s for s in range(4096) if s >> 4 != 1 and s & 255 != 1 and s >> 8 != 1 and s & 15), strict=False)}
+    raw, single = [x.encode() for x in values], codec.Encoder(known)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(codec, "ROUNDS", rounds)
+        m.setattr(codec, "LEADS", leads)
+        out, begins, used, chars = codec.BatchEncoder(known).encode(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64))
+    pieces = [[p for p, c in single.pieces(x) if c] for x in values]
+    assert [out[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:], strict=True)] == [single.encode(x) for x in values]
+    assert (used.tolist(), chars.tolist()) == ([len(p) for p in pieces], [sum(map(len, p)) for p in pieces])
+
+
+def test_file_archives_are_summarised_in_one_pass(spark):
+    """Archives were written, read twice, grouped and joined."""
+    found = registry.archive_file_summary(spark, "/root/testdata/sf0.001", learn=lambda _: spark.createDataFrame([("the", 2)], "token string, slot int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert found.where("payload_ok").count() == 200
+    made = spark.createDataFrame([("f", layouts.write_file_archive("en", "k=v", b"abc", 0)), ("d", layouts.write_directory_archive("en", "codec=en", [("b", b"22"), ("a", b"1")], 0)), ("e", layouts.write_directory_archive("en", "", [], 0))], "path string, content binary")
+    grouped = {tuple(r) for r in inspect.summary(files.archive_entries(made, content=False)).select("archive", "codec", "entry_type", "entries", "encoded_bytes", "meta_text").collect()}
+    heads = inspect.summary_of_heads(files.archive_heads(made)).join(made, F.col("archive") == F.col("path"))
+    assert {tuple(r)[:6] for r in heads.drop("meta").collect()} == grouped and len(grouped) == 3
+    assert heads.where("archive_bytes = length(content)").count() == 3
+    assert files.archive_heads(made.limit(0)).count() == 0
