@@ -354,8 +354,8 @@ def archive_file_summary(spark, sf_dir, learn=small_vocab):
     """One file archive for each document, summarised from headers alone."""
     docs = documents(spark, sf_dir).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     described = meta.build_meta(F.lit("c"), F.col("name"), F.lit(False), F.lit(".txt"), F.to_timestamp_ntz(F.lit("2024-01-02 03:04:05")))
-    rows = codec.encode(docs, learn(docs), ["name"]).select(meta.packed_name(F.col("name")).alias("archive"), F.lit("c").alias("codec"), described.alias("meta"), "encoded")
-    heads = files.archive_heads(files.pack_files(rows, 1).withColumnRenamed("archive", "path"))
+    rows = docs.select(meta.packed_name(F.col("name")).alias("archive"), F.lit("c").alias("codec"), described.alias("meta"), "text")
+    heads = codec.encode(rows, learn(docs), ["archive", "codec", "meta"], then=lambda encoded: files.heads(files.packed(encoded, 1)), schema=files.HEAD)
     found = inspect.summary_of_heads(written(heads, "archive-heads"))
     header = F.lit(4 + 2 + 1 + 1 + 2 + 8) + F.octet_length("meta_text")
     return found.select("archive", "codec", "entry_type", "entries", "encoded_bytes", F.col("meta")["source_name"].alias("source_name"), (F.col("payload_bytes") == F.col("archive_bytes") - header).alias("payload_ok"))
